@@ -108,8 +108,43 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_text(_table(spark, sf_dir, ARTICLES), "seq", "body", only_over=True)
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketweave.llm.tokens import with_token_counts
+
+    return with_token_counts(_table(spark, sf_dir, "documents"), ["doc_id", "source"])
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketweave.llm.packing import pack_items
+
+    return pack_items(_counted(spark, sf_dir), "doc_id", "tokens")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketweave.llm.mixing import mix_sources
+
+    return mix_sources(_counted(spark, sf_dir), _table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketweave.llm.mixing import mix_sources
+
+    return mix_sources(_counted(spark, sf_dir), _table(spark, sf_dir, "source_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).filter("level = 5").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketweave.llm.reading_level import reading_levels
+
+    return reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "level_labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_collapsed, p2_found, p2_kept, p4_found, p4_unified, p5_found, p5_sequences, p5_cleaned, p6_found, p6_paired, p7_found, p7_pieces,
+    p8_containers, p9_mix, p9_shares, p10_found, p10_levels,
 )}
 
 _NORMAL = r"regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
