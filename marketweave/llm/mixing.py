@@ -107,7 +107,7 @@ def source_blocks(counted: DataFrame, block: int, chunk_docs: int = 20_000) -> D
     tasks; the last block of a chunk may be short.
     """
     sizes = counted.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).withColumn("_chunks", F.ceil(F.col("_n") / chunk_docs))
-    docs = counted.filter("tokens > 0").join(sizes, "source").withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.col("_chunks")))
+    docs = counted.filter("tokens > 0 and doc_id is not null").join(sizes, "source").withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.col("_chunks")))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tokens"])
@@ -145,7 +145,7 @@ def mix_sources(
     for each part of a document in a slot: ``shard``, ``slot``, ``source``, ``doc_id``, ``token_start``, ``token_count``, ``round``
     (from 0, below ``max_repeats``). Shares: ``source``, ``target_share``, ``reached_share``, ``tokens``, ``own_tokens``, ``capped``.
     The mix is as large as the documents whose source has a target, as far as the caps allow; what capped and empty sources
-    lack goes to the others in proportion. Documents without source, or whose source has no target, are left out; a target that
+    lack goes to the others in proportion. Documents without id or source, or whose source has no target, are left out; a target that
     is null or not above 0, or ``max_repeats`` that is null or below 1, gives no slots. Empty tables give empty results.
     """
     spark = counted.sparkSession

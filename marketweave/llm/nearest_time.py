@@ -114,7 +114,8 @@ def nearest_in_time(
 
     Of equally near partners the smaller right id counts. Rows with null key, time or id have no partner; repeated rows of
     ``right`` count once, of ``left`` (same id) give a row each. Ids must be bigint. An empty table gives an empty result.
-    Other columns are ignored, so clashing names do no harm. A key and time shard with more than ``hot_rows`` rows is cut into
+    Other columns are ignored; if both ids have one name, the right one comes
+    out with ``right_`` before it. A key and time shard with more than ``hot_rows`` rows is cut into
     shards as wide as the tolerance and its left rows are spread by id, so no task grows with one key.
     """
     width = 8 * tolerance_us
@@ -150,4 +151,5 @@ def nearest_in_time(
     out = l.groupBy("_b").cogroup(r.groupBy("_b")).applyInPandas(
         lambda a, b: match_shards(a, b, tolerance_us), "_l bigint, _r bigint, _d bigint"
     )
-    return out.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), F.col("_d").alias("distance_us"))
+    right_name = right_id if right_id != left_id else f"right_{right_id}"
+    return out.select(F.col("_l").alias(left_id), F.col("_r").alias(right_name), F.col("_d").alias("distance_us"))

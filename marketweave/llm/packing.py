@@ -76,16 +76,17 @@ def pack_items(
     ``shard_items`` items, formed by a hash of the id and a row's own salt, are packed apart; each leaves at most a few containers
     part empty. An empty table gives no rows. Other columns are not read.
     """
-    items = cut_lineage(df.select(F.col(item_id).alias("_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")))
+    # ids travel as text: a null among numbers would make them inexact
+    items = cut_lineage(df.select(F.col(item_id).cast("string").alias("_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")))
     shards = max(1, math.ceil(items.count() / shard_items))
     # copies of one id spread over all shards
     shard = F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shards)) if shards > 1 else F.lit(0).cast("bigint")
     items = items.withColumn("_shard", shard)
-    id_type = dict(items.dtypes)["_id"]
+    id_type = dict(df.dtypes)[item_id]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, shard = pdf["_id"].to_numpy(), pdf["_size"].to_numpy(np.int64), pdf["_shard"].iloc[0]
-        order = np.lexsort((ids.astype(str), sizes))  # the same packing whatever the rows' order
+        order = np.lexsort((pdf["_id"].fillna("").to_numpy(str), sizes))  # the same packing whatever the rows' order
         ids, sizes = ids[order], sizes[order]
         full = np.where(sizes > capacity, sizes // capacity, 0)
         rest = sizes - full * capacity
@@ -100,5 +101,5 @@ def pack_items(
         out = pd.DataFrame({"_id": ids[at], "container": [f"{shard}-{b}" for b in container], "part_no": number + 1, "part_start": number * capacity})
         return out.assign(part_size=np.concatenate([np.full(len(whole), capacity), rest[packed]]))
 
-    out = items.groupBy("_shard").applyInPandas(fill, f"_id {id_type}, container string, part_no bigint, part_start bigint, part_size bigint")
-    return out.withColumnRenamed("_id", item_id)
+    out = items.groupBy("_shard").applyInPandas(fill, "_id string, container string, part_no bigint, part_start bigint, part_size bigint")
+    return out.select(F.col("_id").cast(id_type).alias(item_id), "container", "part_no", "part_start", "part_size")

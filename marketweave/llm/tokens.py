@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,13 @@ def count_tokens(text: str, path: str, step: int = 100_000) -> int:
 
 def with_token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """Columns ``keep`` and ``tokens bigint``; a null or empty text has 0 tokens."""
-    fields = [f for f in df.select(*keep).schema.fields]
+    fields = df.select(*keep).schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", tokens bigint"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [count_tokens(t, path) if isinstance(t, str) and t else 0 for t in batch["_text"]]
-            yield batch.drop(columns="_text").assign(tokens=n)
+            n = [count_tokens(t, path) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*(f.name for f in fields), "tokens"])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInPandas(count, schema)
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(count, schema)
