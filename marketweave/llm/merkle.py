@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def normal(text: Column) -> Column:
-    """Letters and digits of a text without case; capital forms are taken first, so that sharp s equals SS."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits of a text without case; a sharp s equals SS, its capital form."""
+    return F.replace(F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", ""), F.lit("ß"), F.lit("ss"))
 
 
 def leaf(text: Column) -> Column:

@@ -147,7 +147,7 @@ QUERIES = {f.__name__: f for f in (
     p8_containers, p9_mix, p9_shares, p10_found, p10_levels,
 )}
 
-_NORMAL = r"regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_NORMAL = r"replace(regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss')"
 _P1_FORMS = f"""
 WITH parts AS (
   SELECT seq, {_NORMAL.format("title")} AS t,
