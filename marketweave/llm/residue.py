@@ -1,9 +1,10 @@
 """Bodies that were never filled or hold what the fetcher got instead of the page.
 
 Bodies are cut into units (lines, sentences, clauses of a notice). Trusted rules label some units as filler, notice or placeholder.
-Units get a SimHash of their five-word shingles; partitioned tables of hash bands find near-duplicates of labelled units, Hamming
-distance and Jaccard similarity of the shingles confirm them, and labels spread through the connected components, which grow
-from the labelled units round by round until no component grows. Ids and numbers are masked before hashing.
+Units get a SimHash of their words; tables keyed by pairs of hash blocks find near-duplicates of labelled units, Hamming distance
+and Jaccard similarity of five-word shingles confirm them, and labels spread through the connected components, which grow from
+the labelled units round by round until no component grows. Ids and numbers are masked before hashing. Texts whose shingles are
+0.8 alike differ in few words, so a hash of words puts them a few bits apart; a hash of shingles would not.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from marketweave.llm.unicode_forms import INVISIBLE, LOOK_ALIKE
 from marketweave.session import cut_lineage, shared_checkpoint_dir, small_side
 
-NOTICE, FILLER, PLACEHOLDER = 1, 2, 3
-SHINGLE, MIN_SIMILARITY, MAX_HAMMING, BANDS = 5, 0.8, 3, 4
+#: Labels; LATIN is filler told by its vocabulary alone, which needs no near-duplicates: those are told the same way.
+NOTICE, FILLER, PLACEHOLDER, LATIN = 1, 2, 3, 4
+SHINGLE, MIN_SIMILARITY, MAX_HAMMING = 5, 0.8, 10
+#: Tables are the pairs of blocks of the hash: hashes up to blocks - 2 bits apart always share a key.
+BLOCKS = 8
 #: A notice stands in place of an article if at most so many characters of other text, outlet's lines aside, are around it.
 MAX_OTHER_CHARS = 250
 #: A unit in so many articles is an outlet's line.
@@ -89,7 +93,6 @@ _FOLD |= {ord(a): b for a, b in LOOK_ALIKE.items()}
 _FOLD |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0x3000: " "}
 
 _BREAK, _SEPARATORS = "\x00", frozenset(("-", "–", "—", "|", "·", "\x00"))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(word: str) -> int:
@@ -135,22 +138,22 @@ def label(masked: list[str]) -> int:
     words = [w for w in masked if w]
     known = sum(w in FILLER_WORDS for w in words)
     if len(words) >= 3 and known >= 0.8 * len(words) and any(w in _LOREM_HINT for w in words):
-        return FILLER
+        return LATIN
     text = " ".join(words)
     if FILLER_TEXT.search(text):
         return FILLER
     return NOTICE if len(words) <= 40 and (NOTICE_TEXT.search(text) or INNER_NOTICE.search(text)) else 0
 
 
-def simhashes(shingles: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of shingle hashes; ``start`` has the runs' offsets."""
+def simhashes(features: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each run of feature hashes; ``start`` has the runs' offsets."""
     out = np.zeros(len(start), np.uint64)
-    size = np.diff(np.append(start, len(shingles)))
+    size = np.diff(np.append(start, len(features)))
     step, i = 100_000, 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(start, start[i] + step)))
-        a, b = start[i], start[j] if j < len(start) else len(shingles)
-        bits = np.unpackbits(shingles[a:b].view(np.uint8).reshape(-1, 8), axis=1)
+        a, b = start[i], start[j] if j < len(start) else len(features)
+        bits = np.unpackbits(features[a:b].view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, start[i:j] - a, axis=0, dtype=np.int32)
         out[i:j] = np.packbits(ones * 2 > size[i:j, None], axis=1).view(np.uint64).ravel()
         i = j
@@ -188,31 +191,19 @@ class Units:
         self.text = np.searchsorted(text_end, self.begin, side="right")
         self.length = np.add.reduceat(length, begin)[some]
         self.hint = np.add.reduceat(hint, begin, dtype=np.int64)[some] > 0
-        # shingles over the words that are more than signs
+        # signs alone are no words
         solid, n = hashes[real], count[some]
         first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
-        k = np.maximum(n - SHINGLE + 1, 1)
-        start = np.concatenate([[0], np.cumsum(k)[:-1]]) if len(n) else np.zeros(0, np.int64)
-        total = int(k.sum())
-        unit = np.repeat(np.arange(len(n)), k)
-        head = first[unit] + np.arange(total) - start[unit]
-        rolled = np.zeros(total, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(SHINGLE):
-                inside = i < n[unit]
-                rolled = rolled * _MIX + np.where(inside, solid[np.minimum(head + i, len(solid) - 1)], np.uint64(0)) if total else rolled
-            rolled ^= rolled >> np.uint64(31)
-            rolled *= np.uint64(0xBF58476D1CE4E5B9)
-            rolled ^= rolled >> np.uint64(29)
-        self.shingles, self.start = rolled, start
-        self.hash = simhashes(rolled, start) if total else np.zeros(0, np.uint64)
+        self.hash = simhashes(solid, first) if len(solid) else np.zeros(0, np.uint64)
 
     def label(self, i: int) -> int:
         return label([self.masked[j] for j in self.at[self.begin[i]:self.stop[i]]])
 
     def shingle_set(self, i: int) -> list[int]:
-        end = self.start[i + 1] if i + 1 < len(self.start) else len(self.shingles)
-        return sorted(set(self.shingles[self.start[i]:end].view(np.int64).tolist()))
+        """Hashes of the five-word shingles of a unit; a shorter unit is one shingle."""
+        words = [w for w in (self.masked[j] for j in self.at[self.begin[i]:self.stop[i]]) if w]
+        grams = {" ".join(words[k:k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))}
+        return sorted(_hash(g) - (1 << 63) for g in grams)
 
 
 def has_placeholder(text: str) -> str | None:
@@ -244,16 +235,20 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def text_units(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """``id``, ``h``, ``chars``, ``label`` of each unit, as a table in the shared folder that later steps read."""
-    texts = df.select(F.col(row_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    texts = df.select(F.col(row_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
     units = texts.mapInPandas(_unit_rows, "id bigint, h bigint, chars int, label tinyint")
     path = f"{shared_checkpoint_dir(df.sparkSession)}/units-{uuid.uuid4().hex}"
     units.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def _bands(h: Column) -> Column:
-    width = 64 // BANDS
-    return F.array(*(F.struct(F.lit(b).alias("b"), F.shiftrightunsigned(h, b * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int").alias("k")) for b in range(BANDS)))
+def _keys(h: Column) -> Column:
+    """Table number and key of a hash in each table."""
+    width = 64 // BLOCKS
+    mask = F.lit((1 << width) - 1).cast("bigint")
+    block = lambda b: F.shiftrightunsigned(h, b * width).bitwiseAND(mask)
+    pairs = [(a, b) for a in range(BLOCKS) for b in range(a)]
+    return F.array(*(F.struct(F.lit(t).alias("b"), (F.shiftleft(block(x), width) + block(y)).cast("int").alias("k")) for t, (x, y) in enumerate(pairs)))
 
 
 def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -275,16 +270,16 @@ def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataF
 
 
 def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_rounds: int = 50, max_broadcast_rows: int = 500_000) -> DataFrame:
-    """``h``, ``label`` of all units in components that hold a trusted label (notice and filler; placeholders stand alone)."""
+    """``h``, ``label`` of all units in components that hold a trusted label (notice and filler; the others stand alone)."""
     seeds = units.filter(F.col("label").isin(NOTICE, FILLER)).groupBy("h").agg(F.max("label").alias("label"), F.min("id").alias("id"))
     labelled = cut_lineage(seeds)
     frontier = labelled
     for _ in range(max_rounds):
-        at = frontier.select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.explode(_bands(F.col("h"))).alias("x"))
+        at = frontier.select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.explode(_keys(F.col("h"))).alias("x"))
         at = at.select("fh", "flabel", "fid", "x.b", "x.k")
-        # 4 tables of 65,536 keys: at most 262,144 rows, whatever the input
+        # 28 tables of 65,536 keys: at most 1.8 million small rows, whatever the input
         keys = F.broadcast(at.select("b", "k").distinct())
-        near = units.filter("label != 3").select("h", "id", F.explode(_bands(F.col("h"))).alias("x")).select("h", "id", "x.b", "x.k")
+        near = units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)).select("h", "id", F.explode(_keys(F.col("h"))).alias("x")).select("h", "id", "x.b", "x.k")
         near = near.join(keys, ["b", "k"], "left_semi").groupBy("h", "b", "k").agg(F.min("id").alias("id"))
         pairs = near.join(at, ["b", "k"]).filter((F.col("h") != F.col("fh")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("fh"))) <= MAX_HAMMING))
         pairs = pairs.join(labelled.select("h"), "h", "left_anti").groupBy("h", "fh").agg(F.min("id").alias("id"), F.max("flabel").alias("label"), F.min("fid").alias("fid"))
@@ -309,18 +304,20 @@ def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max
 
     A placeholder anywhere or a unit of filler is enough. A notice counts if the text beside notices and standing lines of
     outlets has at most ``MAX_OTHER_CHARS`` characters. Null and empty texts are no residue; repeated rows give one; other
-    columns are not read. Ids must be bigint. An empty table gives an empty result.
+    columns are not read. Ids must be bigint; rows without id give nothing. An empty table gives an empty result.
     """
     units = text_units(df, row_id, text)
     labels, _ = small_side(spread_labels(df, row_id, text, units), max_broadcast_rows)
-    sure = units.filter(F.col("label") == PLACEHOLDER).select("id", F.lit(PLACEHOLDER).alias("label"))
-    hits = units.filter(F.col("label") != PLACEHOLDER).join(labels.withColumnRenamed("label", "known"), "h")
+    told = F.when(F.col("label") == LATIN, FILLER).otherwise(PLACEHOLDER)
+    sure = units.filter(F.col("label").isin(PLACEHOLDER, LATIN)).select("id", told.alias("label"))
+    hits = units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)).join(labels.withColumnRenamed("label", "known"), "h")
     hits = sure.unionAll(hits.select("id", F.col("known").cast("int"))).groupBy("id").agg(F.max("label").alias("label"))
     hits = cut_lineage(hits)
     noticed, _ = small_side(hits.filter(F.col("label") == NOTICE).select("id"), max_broadcast_rows)
     theirs = cut_lineage(units.join(noticed, "id", "left_semi").join(labels.select("h", F.lit(True).alias("known")), "h", "left"))
     unknown, _ = small_side(theirs.filter("known is null").select("h").distinct(), max_broadcast_rows)
-    standing = units.select("h").join(unknown, "h", "left_semi").groupBy("h").count().filter(F.col("count") >= STANDING_ARTICLES).select("h")
+    standing = units.select("h", "id").join(unknown, "h", "left_semi").groupBy("h").agg(F.count_distinct("id").alias("n"))
+    standing = standing.filter(F.col("n") >= STANDING_ARTICLES).select("h")
     other = theirs.filter("known is null").join(standing, "h", "left_anti").groupBy("id").agg(F.sum("chars").alias("other"))
     out = hits.join(other, "id", "left").filter((F.col("label") != NOTICE) | (F.coalesce(F.col("other"), F.lit(0)) <= MAX_OTHER_CHARS))
     names = F.when(F.col("label") == PLACEHOLDER, "placeholder").when(F.col("label") == FILLER, "filler").otherwise("notice")
