@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.session import cut_lineage
+
 # Ranges of wide and joined presentation forms of ordinary letters, digits and signs.
 PRESENTATION = ((0xFF01, 0xFF60), (0xFFE0, 0xFFEE), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x1D400, 0x1D7FF))
 # Combining accents.
@@ -142,7 +144,8 @@ def canonical_words(words: DataFrame) -> DataFrame:
 
 def changed_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
     """Row id, ``field``, ``word``, ``canonical`` of each word that is not its class's canonical member."""
-    words = unusual_words(df, row_id, fields)
+    # both sides of the join read the words; the texts are searched once
+    words = cut_lineage(unusual_words(df, row_id, fields))
     return words.join(canonical_words(words).filter(F.col("word") != F.col("canonical")), "word")
 
 
