@@ -181,9 +181,10 @@ def mix_sources(
     slot = slot.withColumn("block_no", permuted(F.pmod(order, F.col("_blocks")), F.col("_blocks"), key))
     # a shard's slots in an order that doesn't lay its sources side by side
     slot = slot.withColumn("slot", F.xxhash64(F.lit(seed), F.col("shard"), F.col("_at") + F.col("_i")))
-    mix = slot.select("shard", "slot", "source", "block_no", "round").join(blocks, ["source", "block_no"])
+    # slots look small to the planner, as they unfold from a few ranges, but are as many as blocks: never broadcast them
+    mix = slot.select("shard", "slot", "source", "block_no", "round").hint("merge").join(blocks, ["source", "block_no"])
     mix = mix.select("shard", "slot", "source", "doc_id", "token_start", "token_count", "round")
-    reached = slot.select("source", "block_no").join(heads, ["source", "block_no"]).groupBy("source").agg(F.sum("block_tokens").alias("tokens"))
+    reached = slot.select("source", "block_no").hint("merge").join(heads, ["source", "block_no"]).groupBy("source").agg(F.sum("block_tokens").alias("tokens"))
     wanted = spark.createDataFrame(
         pd.DataFrame({"source": plan["source"], "target_share": share, "own_tokens": own, "capped": tokens >= own * repeats}),
         "source string, target_share double, own_tokens bigint, capped boolean",
