@@ -74,17 +74,29 @@ def align(news: DataFrame, rates: DataFrame, utc: str = "published_utc") -> Data
     return out.withColumn("hours_to_fixing", hours_to_fixing(F.col("target_date"), F.col("published_wib")))
 
 
-def daily_news(aligned: DataFrame) -> DataFrame:
-    """One row per target day: counts and means of its news, and their texts in order of time and url."""
+def daily_news(aligned: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per target day: counts and means of its news, and their texts in order of time and url.
+
+    The joined text is one value a day, which suits news of a market; for a corpus whose days outgrow a row leave it out
+    (``with_text=False``) and take :func:`daily_texts`.
+    """
     texts = F.array_sort(F.collect_list(F.when(F.col("text_norm") != "", F.struct("published_utc", "url", "text_norm"))))
+    joined = [F.array_join(F.transform(texts, lambda x: x["text_norm"]), " ").alias("text_norm_concat")] if with_text else []
     return aligned.filter("target_date is not null").groupBy(F.col("target_date").alias("date")).agg(
         F.count("url").alias("n_news"), F.avg("relevance_score").alias("mean_relevance"), F.max("relevance_score").alias("max_relevance"),
-        F.avg("n_tokens").alias("mean_tokens"), F.avg(F.col("is_offhours").cast("double")).alias("pct_offhours"),
-        F.array_join(F.transform(texts, lambda x: x["text_norm"]), " ").alias("text_norm_concat"),
+        F.avg("n_tokens").alias("mean_tokens"), F.avg(F.col("is_offhours").cast("double")).alias("pct_offhours"), *joined,
     )
 
 
+def daily_texts(aligned: DataFrame) -> DataFrame:
+    """The texts of each day as rows in order: ``date``, ``published_utc``, ``url``, ``text_norm``; a range sort, so days may span tasks."""
+    kept = aligned.filter("target_date is not null and text_norm <> ''")
+    return kept.select(F.col("target_date").alias("date"), "published_utc", "url", "text_norm").orderBy("date", "published_utc", "url")
+
+
 def aligned_daily(rates: DataFrame, daily: DataFrame) -> DataFrame:
     """Every trading day with its news; days without news have none of them, an empty text and no means."""
-    out = rates.join(daily, "date", "left").na.fill(0, ["n_news"]).na.fill("", ["text_norm_concat"])
+    out = rates.join(daily, "date", "left").na.fill(0, ["n_news"])
+    if "text_norm_concat" in out.columns:
+        out = out.na.fill("", ["text_norm_concat"])
     return out.withColumn("window_hours", F.coalesce(F.col("gap_days"), F.lit(1)) * F.lit(24.0)).withColumn("news_density", F.col("n_news") / F.col("window_hours"))

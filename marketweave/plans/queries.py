@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions import rates as RF
 from marketweave.functions import text as T
 from marketweave.functions import values as V
+from marketweave.functions.subword import subword_count
 from marketweave.operators import alignment as A
 from marketweave.operators import dedup as D
 from marketweave.operators import extract as X
@@ -16,6 +19,7 @@ from marketweave.operators import rates as R
 from marketweave.operators import reports as P
 from marketweave.operators import selection as S
 from marketweave.plans import pipelines
+from marketweave.session import shared_checkpoint_dir
 from marketweave.sources import files as IO
 
 ARTICLES = "batch_1789375807_210"
@@ -149,6 +153,37 @@ def src5_shards_tolerant(spark, sf_dir):
     return parsed.agg(F.count(F.lit(1)).alias("lines"), F.count("x._bad").alias("bad_lines"), F.sum("x.k").alias("sum_k"))
 
 
+def _folder(spark, name: str) -> str:
+    """A fresh folder among the shared ones."""
+    return f"{shared_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT trim(tanggal) AS tanggal, nullif(kurs, '') AS kurs FROM rates_raw")
+def src2_src3_snk1_rate_file(spark, sf_dir):
+    """The rates written as a file with semicolons and unlike names, then read by sniffing both."""
+    path = _folder(spark, "rates")
+    raw = _t(spark, sf_dir, "rates_raw").select(F.col("nomor").alias("NO"), F.col("tanggal").alias(" Tanggal Terbit"), F.col("kurs").alias("Nilai"))
+    raw.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    return IO.read_rates(spark, path).select(F.trim("tanggal").alias("tanggal"), "kurs")
+
+
+@query(f"SELECT url, title, published, md5(body) AS digest, title_score FROM {ARTICLES}")
+def src4_snk3_shards(spark, sf_dir):
+    """The articles written as JSON shards and read again, strictly."""
+    path = _folder(spark, "shards")
+    IO.append_shard(_articles(spark, sf_dir).select("url", "title", "published", "body", "title_score"), path)
+    return IO.read_shards(spark, path, strict=True).select("url", "title", "published", F.md5("body").alias("digest"), "title_score")
+
+
+@query(f"SELECT site AS folder, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (title IS NULL) AS BIGINT) AS bad_lines FROM {ARTICLES} GROUP BY 1")
+def src6_shard_audit(spark, sf_dir):
+    """Shards in which the line of an article without title is cut short, audited by site."""
+    path = _folder(spark, "audit")
+    line = F.to_json(F.struct("seq", "url", "title"))
+    _articles(spark, sf_dir).select("site", F.when(F.col("title").isNull(), F.substring(line, 1, 12)).otherwise(line).alias("value")).write.partitionBy("site").text(path)
+    return IO.shard_audit(spark, path, by=F.regexp_extract(F.col("_metadata.file_path"), "site=([^/]+)/", 1)).withColumnRenamed("file", "folder")
+
+
 @query(f"SELECT listing_id, url FROM (SELECT DISTINCT listing_id, url FROM archive_index) i WHERE NOT EXISTS (SELECT 1 FROM {ARTICLES} a WHERE a.url = i.url)")
 def src7_to_fetch(spark, sf_dir):
     """Listings whose article has not been fetched yet."""
@@ -278,6 +313,33 @@ def prj6_present(spark, sf_dir):
     return S.present(_t(spark, sf_dir, "documents"), ["doc_id", "no_such_column", "source", "section"])
 
 
+@query(f"SELECT seq, section IS NULL AS no_section, length(coalesce(body, '')) = 0 AS no_text, replace(url, 'https://www.', '') AS shown, substr(title, 1, 40) AS head FROM {ARTICLES}")
+def fn_str3_to_fn_str5_shown(spark, sf_dir):
+    return _articles(spark, sf_dir).select(
+        "seq", F.col("section").isNull().alias("no_section"), (F.length(F.coalesce("body", F.lit(""))) == 0).alias("no_text"),
+        F.replace("url", F.lit("https://www."), F.lit("")).alias("shown"), F.substring("title", 1, 40).alias("head"),
+    )
+
+
+@query(f"SELECT seq, epoch_us(u) AS utc_us FROM (SELECT seq, {_ISO_UTC} AS u FROM {ARTICLES}) ORDER BY u NULLS LAST, seq")
+def srt1_by_time(spark, sf_dir):
+    """All articles in order of time, those without time last; a range sort."""
+    timed = _articles(spark, sf_dir).select("seq", A.iso_utc(F.col("published")).alias("u")).orderBy(F.col("u").asc_nulls_last(), "seq")
+    return timed.select("seq", F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("u")).alias("utc_us"))
+
+
+@query()
+def fn_tok2_ml8_subwords(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", subword_count(F.col("text")).alias("n_tokens"))
+    return docs.withColumn("needs_chunking", F.col("n_tokens") > V.CHUNK_TOKENS).withColumn("n_chunks_est", T.chunks_needed(F.col("n_tokens")))
+
+
+@query()
+def fn_une_fn_nfkc_decoded(spark, sf_dir):
+    """Bodies after entity decoding and NFKC, by digest."""
+    return _articles(spark, sf_dir).select("seq", F.md5(T.decode(F.col("body"))).alias("digest"))
+
+
 # ---- joins and deduplication -----------------------------------------------------------------------------------------------
 
 @query(f"""SELECT url, array_to_string(list_sort(list_distinct(list(matched_terms))), '|') AS keywords, coalesce(array_to_string(list_sort(list_distinct(list(section) FILTER (section IS NOT NULL))), '|'), '') AS sections,
@@ -509,6 +571,17 @@ def ext1_dd4_archive_links(spark, sf_dir):
     return got.groupBy(F.substring_index("page_id", " ", 1).alias("page_id"), "url").agg(F.min_by("title", "_n").alias("title"))
 
 
+@query(r"""SELECT DISTINCT site || ' ' || index_date AS page_id, url, index_date AS date FROM archive_index
+WHERE regexp_matches(url, '/\d{4}/\d{2}/\d{2}/[a-z0-9\-]+\.html') AND regexp_extract(url, '/(\d{4}/\d{2}/\d{2})/', 1) = replace(index_date, '-', '/') AND length(trim(title)) >= 15 AND NOT regexp_matches(title, '[<>&]')""")
+def ext2_strict_links(spark, sf_dir):
+    """Archive pages of one site and day, and the links on them that name the page's own date."""
+    index = _t(spark, sf_dir, "archive_index").filter(~F.col("title").rlike("[<>&]"))
+    anchor = F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'), F.col("title"), F.lit("</a>"))
+    pages = index.groupBy(F.concat_ws(" ", "site", "index_date").alias("page_id"), F.col("index_date").cast("date").alias("date")).agg(F.array_join(F.collect_list(anchor), "").alias("html"))
+    got = X.archive_links(pages, "https://archive.example", ".example", strict=True)
+    return got.select("page_id", "url", F.col("date").cast("string").alias("date"))
+
+
 _STRIP = r"regexp_replace({}, '^[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+|[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+$', '', 'g')"
 
 

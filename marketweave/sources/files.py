@@ -52,9 +52,10 @@ def read_shards(spark: SparkSession, path: str, schema: str = ARTICLE_SCHEMA, st
     return spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
-def shard_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Per file the number of lines and of bad ones; blank lines count for neither."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").filter(F.trim("value") != "")
+def shard_audit(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:
+    """Per file (or another part of its address) the number of lines and of bad ones; blank lines count for neither."""
+    name = F.col("_metadata.file_name") if by is None else by
+    lines = spark.read.text(path).select(name.alias("file"), "value").filter(F.trim("value") != "")
     bad = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")
     return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(bad).alias("bad_lines"))
 
