@@ -54,10 +54,11 @@ def normalise_timestamps(
 ) -> DataFrame:
     """``df`` with ``utc_us bigint``, ``reading_status string`` and ``reading_posterior double``.
 
-    ``habits`` has one row per source: ``source``, ``tz`` (IANA), ``day_first`` (may be null). Status is ``resolved``,
-    ``ambiguous`` (no reading reaches ``least_posterior``; utc_us is null), ``no_instant`` (null, blank, date only, unknown
-    or impossible value) or ``no_zone`` never appears on its own: a value without zone from a source without zone has no
-    valid reading and is ``no_instant``. Repeated rows stay; extra columns stay unless their names begin with ``_ts_``.
+    ``habits`` has one row per source: ``source``, ``tz`` (IANA), ``day_first`` (may be null; without it the source's own values show
+    the order). Status is ``resolved``; ``ambiguous``, where no reading reaches ``least_posterior`` and utc_us is null; or
+    ``no_instant`` for null, blank, date-only, unknown and impossible values, and for values without zone of a source whose zone is
+    null or unknown. Repeated rows stay. Extra columns stay, but for those with the three new names, which are replaced, and those
+    that begin with ``_ts_``, which go. An empty table gives an empty result.
     """
     h = habits.select(F.col("source").alias("_ts_source"), F.col("tz").alias("_ts_tz"), F.col("day_first").alias("_ts_day_first"))
     h = h.dropDuplicates(["_ts_source"])
