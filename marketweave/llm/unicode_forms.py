@@ -49,6 +49,8 @@ def _java_class(*tables: tuple) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for t in tables for a, b in t)
 
 
+#: All of the above and more, in two ranges that a pattern tests fast: what it doesn't match needs no closer look.
+MAYBE_UNUSUAL = r"[\x00-\x08\x0E-\x1B\x7F-\x84\x86-\xA0\xAD\x{100}-\x{10FFFF}]"
 UNUSUAL = _java_class(PRESENTATION, ACCENTS, INVISIBLE, SPACES, ALPHABETS)
 ORDINARY_SPACE = r" \t\n\x0B\f\r\x{85}\x{2028}\x{2029}"
 WORD = rf"[^{ORDINARY_SPACE}]+"
@@ -125,7 +127,7 @@ def unusual_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFr
     """Row id, ``field`` and ``word`` of each different word that holds an unusual character; null texts give nothing."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
     texts = df.select(row_id, F.explode(parts).alias("_x")).select(row_id, "_x.field", "_x.text")
-    texts = texts.filter(F.col("text").rlike(f"[{UNUSUAL}]"))
+    texts = texts.filter(F.col("text").rlike(MAYBE_UNUSUAL) & F.col("text").rlike(f"[{UNUSUAL}]"))
     return texts.select(row_id, "field", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(UNUSUAL_WORD), F.lit(0)))).alias("word"))
 
 
