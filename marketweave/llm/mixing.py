@@ -19,6 +19,8 @@ from marketweave.session import cut_lineage
 BLOCK_TOKENS = 256
 #: Sources of a mix are a table kept by hand; beyond so many the plan on the driver is refused.
 MAX_SOURCES = 100_000
+#: Most output shards; beyond it they grow, so that the draws stay few.
+MAX_SHARDS = 10_000
 
 
 def allot(available: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: int) -> np.ndarray:
@@ -150,7 +152,8 @@ def mix_sources(
     """
     spark = counted.sparkSession
     t = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    aimed = counted.join(F.broadcast(t.limit(MAX_SOURCES + 1).select("source")), "source", "left_semi").select("doc_id", "source", "tokens")
+    # read twice below; counting tokens is the costly part
+    aimed = cut_lineage(counted.join(F.broadcast(t.limit(MAX_SOURCES + 1).select("source")), "source", "left_semi").select("doc_id", "source", "tokens"))
     blocks = cut_lineage(source_blocks(aimed, block))
     heads = blocks.select("source", "block_no", "block_tokens").distinct()
     held = heads.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"), F.sum("block_tokens").alias("own_tokens"))
@@ -164,7 +167,7 @@ def mix_sources(
     # tokens first, then blocks of each source's own mean size
     tokens = allot(own, share, repeats, int(own.sum()))
     slots = np.minimum(np.rint(tokens * n / np.maximum(own, 1)).astype(np.int64), n * repeats)
-    shards = max(1, math.ceil(slots.sum() / shard_slots))
+    shards = max(1, min(math.ceil(slots.sum() / shard_slots), MAX_SHARDS))
     drawn = draw_shards(slots, shards, seed)
     first = np.cumsum(drawn, axis=0) - drawn
     at, of = np.nonzero(drawn)
