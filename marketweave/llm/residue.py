@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,6 +252,37 @@ def _keys(h: Column) -> Column:
     return F.array(*(F.struct(F.lit(t).alias("b"), (F.shiftleft(block(x), width) + block(y)).cast("int").alias("k")) for t, (x, y) in enumerate(pairs)))
 
 
+def _meeting(units: DataFrame, at: DataFrame) -> DataFrame:
+    """``h``, ``b``, ``k`` and an ``id`` of the units' hashes in the tables, for those that share a key with ``at``.
+
+    What is sent out is a bit for each of 28 tables of 65,536 keys, 1.8 million at every size; it spares all other units
+    the tables.
+    """
+    tables, width = BLOCKS * (BLOCKS - 1) // 2, 2 * 64 // BLOCKS
+    taken = np.zeros(tables << width, bool)
+    taken[at.select((F.col("b") * (1 << width) + F.col("k")).alias("n")).distinct().toPandas()["n"].to_numpy(np.int64)] = True
+    shared = units.sparkSession.sparkContext.broadcast(np.packbits(taken))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            block = [((h >> np.uint64(b * (64 // BLOCKS))) & np.uint64((1 << (64 // BLOCKS)) - 1)).astype(np.int64) for b in range(BLOCKS)]
+            found, t = [], 0
+            for a in range(BLOCKS):
+                for b in range(a):
+                    key = (block[a] << (64 // BLOCKS)) + block[b]
+                    at_ = np.flatnonzero(bits[(t << width) + key])
+                    found.append((at_, np.full(len(at_), t, np.int32), key[at_].astype(np.int32)))
+                    t += 1
+            rows, table, key = (np.concatenate(x) for x in zip(*found))
+            hits = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([hits.column(0), hits.column(1), pa.array(table), pa.array(key)], names=["h", "id", "b", "k"])
+
+    met = units.select("h", "id").mapInArrow(meet, "h bigint, id bigint, b int, k int")
+    return met.groupBy("h", "b", "k").agg(F.min("id").alias("id"))
+
+
 def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataFrame:
     """``h`` and its unit's shingle set, taken from the article ``id`` that ``wanted`` names for each hash."""
 
@@ -277,10 +309,7 @@ def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_r
     for _ in range(max_rounds):
         at = frontier.select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.explode(_keys(F.col("h"))).alias("x"))
         at = at.select("fh", "flabel", "fid", "x.b", "x.k")
-        # 28 tables of 65,536 keys: at most 1.8 million small rows, whatever the input
-        keys = F.broadcast(at.select("b", "k").distinct())
-        near = units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)).select("h", "id", F.explode(_keys(F.col("h"))).alias("x")).select("h", "id", "x.b", "x.k")
-        near = near.join(keys, ["b", "k"], "left_semi").groupBy("h", "b", "k").agg(F.min("id").alias("id"))
+        near = _meeting(units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)), at)
         pairs = near.join(at, ["b", "k"]).filter((F.col("h") != F.col("fh")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("fh"))) <= MAX_HAMMING))
         pairs = pairs.join(labelled.select("h"), "h", "left_anti").groupBy("h", "fh").agg(F.min("id").alias("id"), F.max("flabel").alias("label"), F.min("fid").alias("fid"))
         pairs = cut_lineage(pairs)
