@@ -9,11 +9,20 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.functions import values as V
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are costly and used more than once.
+
+    The optimizer copies an expression into every filter and projection that uses it; it can't reach through a generator.
+    """
+    row = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(row)).alias("_once")).select(*df.columns, *(F.col(f"_once.{n}").alias(n) for n in columns))
+
+
 WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 
@@ -84,8 +93,7 @@ def clean_transformer(text: Column) -> Column:
 def normal_terms(text: Column, stopwords: tuple[str, ...] = V.STOPWORDS) -> Column:
     """Lower-case words with digits, % and $, joined by blanks; stop words and single signs are left out."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9%$][a-z0-9%$.]*"), F.lit(0))
-    stop = F.array(*(F.lit(w) for w in stopwords))
-    words = F.filter(F.transform(found, lambda w: F.btrim(w, F.lit("."))), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    words = F.filter(F.transform(found, lambda w: F.btrim(w, F.lit("."))), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
     return F.array_join(words, " ")
 
 
@@ -135,5 +143,10 @@ def lexicon_score(terms: Column, lexicon: dict[str, int] = V.LEXICON) -> Column:
 
 
 def has_negative(text: Column, phrases: tuple[str, ...] = V.NEGATIVE, whole_words: bool = True) -> Column:
-    joined = "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in phrases)
-    return text.rlike(rf"(?iU)\b(?:{joined})\b" if whole_words else rf"(?i)(?:{joined})")
+    """Whether a rejecting phrase occurs, as whole words or anywhere; null for a null text."""
+
+    def any_phrase(low: Column) -> Column:
+        each = (F.contains(low, F.lit(p)) & low.rlike(word_pattern(p)) if whole_words else F.contains(low, F.lit(p)) for p in phrases)
+        return reduce(lambda a, b: a | b, each)
+
+    return F.element_at(F.transform(F.array(F.lower(text)), any_phrase), 1)

@@ -39,15 +39,14 @@ def trading_calendar(rates: DataFrame) -> DataFrame:
     return days.withColumn("target_date_lag1", F.lead("target_date").over(Window.partitionBy(F.lit(0)).orderBy("target_date")))
 
 
-def roll_forward(days: DataFrame, calendar: DataFrame) -> DataFrame:
-    """For every day from the first of ``days`` to the last trading day the next trading day at or after it.
+def roll_forward(calendar: DataFrame) -> DataFrame:
+    """``candidate``, ``target_date``: for every day of the calendar's span the next trading day at or after it.
 
-    A row per calendar day of the span, so it joins by equality; days before the first trading day roll to it.
+    A row per calendar day, so it joins by equality.
     """
-    first = days.agg(F.min("candidate").alias("a"))
-    span = calendar.agg(F.min("target_date").alias("lo"), F.max("target_date").alias("hi")).withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one")
-    span = span.select(F.explode(F.sequence(F.least("a", "lo"), F.col("hi"), F.expr("interval 1 day"))).alias("candidate"))
-    each = span.join(calendar, F.col("candidate") == F.col("target_date"), "left")
+    span = calendar.agg(F.min("target_date").alias("lo"), F.max("target_date").alias("hi")).filter("lo is not null")
+    span = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("candidate"))
+    each = span.join(calendar.select("target_date"), F.col("candidate") == F.col("target_date"), "left")
     ahead = Window.partitionBy(F.lit(0)).orderBy("candidate").rowsBetween(0, Window.unboundedFollowing)
     return each.select("candidate", F.min("target_date").over(ahead).alias("target_date"))
 
@@ -68,8 +67,12 @@ def align(news: DataFrame, rates: DataFrame, utc: str = "published_utc") -> Data
     Rows after the last fixing, or without time, have no target. Both lookup tables have a row per day; AQE broadcasts them.
     """
     calendar = trading_calendar(rates)
-    timed = news.withColumn("published_wib", market_time(F.col(utc))).withColumn("candidate", candidate_day(F.col("published_wib")))
-    out = timed.join(roll_forward(timed, calendar), "candidate", "left").join(calendar, "target_date", "left").drop("candidate")
+    # days before the first trading day roll to it; the first day is a scalar of the calendar, so the news are read once
+    first = calendar.agg(F.min("target_date")).scalar()
+    timed = news.withColumn("published_wib", market_time(F.col(utc)))
+    day = candidate_day(F.col("published_wib"))
+    timed = timed.withColumn("candidate", F.when(day.isNotNull(), F.greatest(day, first)))
+    out = timed.join(roll_forward(calendar), "candidate", "left").join(calendar, "target_date", "left").drop("candidate")
     out = out.withColumn("is_offhours", off_hours(F.col("published_wib")))
     return out.withColumn("hours_to_fixing", hours_to_fixing(F.col("target_date"), F.col("published_wib")))
 

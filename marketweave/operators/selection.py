@@ -53,8 +53,7 @@ def merged_records(articles: DataFrame) -> DataFrame:
 
 def shortlist(index: DataFrame, least: int = V.MIN_TITLE_SCORE) -> DataFrame:
     """Listed titles scored; kept if the score reaches ``least`` and no rejecting phrase occurs, even inside a word."""
-    terms = T.matched_terms(F.col("title"))
-    scored = index.withColumn("terms", terms).withColumns({
+    scored = T.computed_once(index, {"terms": T.matched_terms(F.col("title"))}).withColumns({
         "title_score": T.lexicon_score(F.col("terms")), "matched_terms": F.array_join("terms", "|"),
         "has_negative": T.has_negative(F.col("title"), whole_words=False),
     })

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketweave.operators.timestamp_mixture import article_instants
+from marketweave.session import spread
 
 ARTICLES = "batch_1789375807_210"
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return article_instants(spark.read.parquet(f"{sf_dir}/{ARTICLES}.parquet"), spark.read.parquet(f"{sf_dir}/sites.parquet"))
+    return article_instants(spread(spark.read.parquet(f"{sf_dir}/{ARTICLES}.parquet")), spark.read.parquet(f"{sf_dir}/sites.parquet"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

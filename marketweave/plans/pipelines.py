@@ -23,15 +23,16 @@ def news_stages(records: DataFrame) -> DataFrame:
     narrow = keep_one(r.select("seq", "url", T.title_key(F.coalesce(F.col("title"), F.lit("nan"))).alias("_key")), ["url"], "seq")
     one = r.join(keep_one(narrow, ["_key"], "seq").select("seq"), "seq", "left_semi")
     text = one.filter(~S.dropped_type(F.col("type")) & ~S.dropped_section(F.col("section")))
-    text = text.withColumns({f"{n}_clean": T.clean_terms(F.col(c)) for n, c in (("title", "title"), ("desc", "description"), ("body", "body"))})
-    text = text.withColumns({
+    text = T.computed_once(text, {f"{n}_clean": T.clean_terms(F.col(c)) for n, c in (("title", "title"), ("desc", "description"), ("body", "body"))})
+    text = T.computed_once(text, {
         "text_for_filter": T.join_parts(F.col("title_clean"), F.col("desc_clean")),
         "text_clean": T.join_parts(F.col("title_clean"), F.col("desc_clean"), F.col("body_clean")),
     })
-    text = text.withColumn("long_enough", T.token_count(F.col("text_clean")) >= V.MIN_TOKENS).withColumn("_terms", T.matched_terms(F.col("text_for_filter")))
-    text = text.withColumns({
-        "relevance_score": T.lexicon_score(F.col("_terms")), "matched_terms": F.array_join("_terms", "|"), "has_negative": T.has_negative(F.col("text_for_filter")),
+    text = T.computed_once(text, {
+        "long_enough": T.token_count(F.col("text_clean")) >= V.MIN_TOKENS, "_terms": T.matched_terms(F.col("text_for_filter")),
+        "has_negative": T.has_negative(F.col("text_for_filter")),
     })
+    text = text.withColumns({"relevance_score": T.lexicon_score(F.col("_terms")), "matched_terms": F.array_join("_terms", "|")})
     text = text.withColumn("keep", F.col("long_enough") & (F.col("relevance_score") >= V.MIN_SCORE) & ~F.col("has_negative"))
     return text.drop("_terms", "search_keyword", "keyword_group").join(trail, "url")
 
@@ -52,8 +53,8 @@ def transformer_news(records: DataFrame, rates: DataFrame, count_tokens=T.token_
     empty = F.length(F.coalesce(F.col("body"), F.lit(""))) == 0
     rest = F.when(empty, F.col("description")).otherwise(F.col("body"))
     t = one.withColumns({"_title": T.clean_transformer(F.col("title")), "_rest": T.clean_transformer(rest), "used_description_fallback": empty})
-    t = t.withColumn("text_clean", F.btrim(T.transformer_text(F.col("_title"), F.col("_rest")))).filter(F.length("text_clean") > 0)
-    t = t.withColumn("n_tokens", count_tokens(F.col("text_clean"))).withColumn("needs_chunking", F.col("n_tokens") > V.CHUNK_TOKENS)
+    t = T.computed_once(t, {"text_clean": F.btrim(T.transformer_text(F.col("_title"), F.col("_rest")))}).filter(F.length("text_clean") > 0)
+    t = T.computed_once(t, {"n_tokens": count_tokens(F.col("text_clean"))}).withColumn("needs_chunking", F.col("n_tokens") > V.CHUNK_TOKENS)
     t = t.withColumn("n_chunks_est", T.chunks_needed(F.col("n_tokens"))).withColumn("published_utc", A.iso_utc(F.col("published")))
     t = A.align(t, rates).withColumn("date", F.date_format("published_wib", "yyyy-MM-dd hh:mm:ss a 'WIB'"))
     return t.select(

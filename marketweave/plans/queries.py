@@ -19,7 +19,7 @@ from marketweave.operators import rates as R
 from marketweave.operators import reports as P
 from marketweave.operators import selection as S
 from marketweave.plans import pipelines
-from marketweave.session import shared_checkpoint_dir
+from marketweave.session import shared_checkpoint_dir, spread
 from marketweave.sources import files as IO
 
 ARTICLES = "batch_1789375807_210"
@@ -38,7 +38,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in (ARTICLES, "documents") else table
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +236,8 @@ def flt4_long_enough(spark, sf_dir):
 
 @query(f"SELECT doc_id FROM documents WHERE ({_SCORE('text')}) >= {V.MIN_SCORE} AND NOT {_NEG('text', True)}")
 def flt5_relevant(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    return docs.filter((T.lexicon_score(T.matched_terms(F.col("text"))) >= V.MIN_SCORE) & ~T.has_negative(F.col("text"))).select("doc_id")
+    docs = T.computed_once(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"m": T.matched_terms(F.col("text"))})
+    return docs.filter((T.lexicon_score(F.col("m")) >= V.MIN_SCORE) & ~T.has_negative(F.col("text"))).select("doc_id")
 
 
 @query(f"""SELECT listing_id, title, url, CAST(sc AS BIGINT) AS title_score, {_TERMS('title')} AS matched_terms
@@ -450,8 +451,9 @@ def flt12_win6_spl1_split(spark, sf_dir):
 @query(f"SELECT doc_id, CAST({_SCORE('text')} AS BIGINT) AS score, {_TERMS('text')} AS terms, {_NEG('text', True)} AS negative, {_NEG('text', False)} AS negative_inside FROM documents")
 def lex1_to_lex5_scores(spark, sf_dir):
     t = F.col("text")
-    scored = _t(spark, sf_dir, "documents").withColumn("m", T.matched_terms(t))
-    return scored.select("doc_id", T.lexicon_score(F.col("m")).alias("score"), F.array_join("m", "|").alias("terms"), T.has_negative(t).alias("negative"), T.has_negative(t, whole_words=False).alias("negative_inside"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = T.computed_once(docs, {"m": T.matched_terms(t), "negative": T.has_negative(t), "negative_inside": T.has_negative(t, whole_words=False)})
+    return scored.select("doc_id", T.lexicon_score(F.col("m")).alias("score"), F.array_join("m", "|").alias("terms"), "negative", "negative_inside")
 
 
 @query(f"SELECT title_score, count(*) AS n FROM {ARTICLES} GROUP BY 1 ORDER BY 1")

@@ -61,6 +61,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it was read, over all cores if its files give fewer tasks than there are cores.
+
+    A small file of one row group is one task, however costly what follows. Tables with enough tasks are left as they are, so at
+    scale nothing is moved.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session's executors, once per application."""
     import shutil
