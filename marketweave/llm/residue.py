@@ -301,12 +301,15 @@ def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataF
     return texts.join(wanted.select("id", "h"), "id").select("h", "_text").mapInPandas(extract, "h bigint, s array<bigint>").dropDuplicates(["h"])
 
 
-def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_rounds: int = 50, max_broadcast_rows: int = 500_000) -> DataFrame:
-    """``h``, ``label`` of all units in components that hold a trusted label (notice and filler; the others stand alone)."""
+def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_broadcast_rows: int = 500_000) -> DataFrame:
+    """``h``, ``label`` of all units in components that hold a trusted label (notice and filler; the others stand alone).
+
+    Units of the same words, masks applied, have one hash and count as one text. Rounds go on until none adds a unit.
+    """
     seeds = units.filter(F.col("label").isin(NOTICE, FILLER)).groupBy("h").agg(F.max("label").alias("label"), F.min("id").alias("id"))
     labelled = cut_lineage(seeds)
     frontier = labelled
-    for _ in range(max_rounds):
+    while True:
         at = frontier.select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.explode(_keys(F.col("h"))).alias("x"))
         at = at.select("fh", "flabel", "fid", "x.b", "x.k")
         near = _meeting(units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)), at)

@@ -53,3 +53,11 @@ def test_empty_and_repeated(spark):
 def test_against_brute_force(spark, pairs):
     rows = [(i, *p) for i, p in enumerate(pairs)]
     assert {tuple(r) for r in merkle.copy_pairs(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_hot_group(spark):
+    rows = [(i, "Same TITLE" if i % 3 == 0 else f"t{i}", "u?a=1" if i % 2 else "U?a=1&") for i in range(3000)]
+    got = merkle.copy_pairs(frame(spark, rows)).collect()
+    assert len(got) == 999 and {r.seq_first for r in got} == {0}
+    sizes = sorted(r.copies for r in merkle.collapse(frame(spark, rows)).collect())
+    assert sizes[-1] == 1000 and sum(sizes) == 3000

@@ -48,3 +48,13 @@ def test_index_finds_every_position():
         a, b = start[s], start[s + 1]
         q = np.concatenate([times[a:b], times[a:b] + 1, times[a:b] - 1, [-1, 10**17]])
         assert (index.lower_bound(np.full(len(q), s), q) == a + np.searchsorted(times[a:b], q)).all()
+
+
+def test_hot_entity(spark):
+    rng = random.Random(5)
+    left = [(i, "hot" if i % 3 == 0 else f"k{i % 40}", rng.randrange(0, 3000)) for i in range(1500)]
+    right = [(i, "hot" if i % 2 == 0 else f"k{i % 40}", rng.randrange(0, 3000)) for i in range(1500)]
+    l = spark.createDataFrame([(*r, 0) for r in left], LEFT)
+    r = spark.createDataFrame([(*x, 0) for x in right], RIGHT)
+    got = {x.seq: (x.q, x.distance_us) for x in nearest_in_time(l, r, "k", "seq", "t", "q", "t", 100, hot_rows=100, bucket_rows=200).collect()}
+    assert got == brute(left, right, 100)
