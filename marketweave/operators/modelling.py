@@ -26,9 +26,10 @@ class TermWeights:
 
     def fit(self, train: DataFrame, text: str) -> TermWeights:
         self.text = text
-        g = grams(train, text).select("grams").persist()
+        # the documents are numbered before their terms are taken apart; beside the generator each term would get its own number
+        g = grams(train, text).select("grams", F.monotonically_increasing_id().alias("d")).persist()
         n = g.count()
-        each = g.select(F.explode("grams").alias("term"), F.monotonically_increasing_id().alias("d"))
+        each = g.select(F.explode("grams").alias("term"), "d")
         counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("d").alias("df"))
         g_ok = counts.filter((F.col("df") >= self.min_docs) & (F.col("df") <= self.max_share * n))
         rows = g_ok.orderBy(F.desc("tf"), "term").limit(self.size).collect()  # at most ``size`` rows

@@ -19,7 +19,7 @@ from marketweave.operators import rates as R
 from marketweave.operators import reports as P
 from marketweave.operators import selection as S
 from marketweave.plans import pipelines
-from marketweave.session import shared_checkpoint_dir, spread
+from marketweave.session import cut_lineage, shared_checkpoint_dir, spread
 from marketweave.sources import files as IO
 
 ARTICLES = "batch_1789375807_210"
@@ -140,6 +140,11 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.aligned_daily(_rates(spark, sf_dir), A.daily_news(_aligned(spark, sf_dir)))
 
 
+def _whole_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table over title, description and body of relevant news; ``_daily`` is the part of it that the SQL states."""
+    return pipelines.daily_table(pipelines.news_features(_records(spark, sf_dir)), _rates(spark, sf_dir))
+
+
 # ---- sources and sinks -----------------------------------------------------------------------------------------------------
 
 @query(f"SELECT site, CAST(strftime(CAST(index_date AS DATE), '%Y-%m') AS VARCHAR) AS month, count(*) AS n FROM {ARTICLES} GROUP BY 1, 2")
@@ -640,14 +645,16 @@ def ml6_confusion(spark, sf_dir):
 
 @query()
 def ml2_ml4_ml7_top_terms(spark, sf_dir):
-    """Terms that speak most for each direction of the rate, from a model of the days' news."""
-    daily = _daily(spark, sf_dir).filter("n_news > 0").select("date", "text_norm_concat", "direction")
-    train = S.chronological_split(daily, "date").filter("part = 'train'").persist()
+    """Terms that speak most for each direction of the rate, from a model of the days' relevant news over whole texts."""
+    daily = cut_lineage(_whole_daily(spark, sf_dir).filter("n_news > 0").select("date", "text_norm_concat", "direction"))
+    # the split's window takes all days in one task, so the texts stay out of it
+    days = S.chronological_split(daily.select("date"), "date").filter("part = 'train'").select("date")
+    train = daily.join(F.broadcast(days), "date", "left_semi").persist()
     labels = sorted(r[0] for r in train.select("direction").distinct().collect())  # at most three
     index = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("direction")) - 1
     weights = M.TermWeights().fit(train, "text_norm_concat")
     x = M.balanced(weights.transform(train).withColumn("y", index.cast("double")), "direction")
-    model = M.fit_classifier(x, "y", max_iter=100)
+    model = M.fit_classifier(x, "y")
     return spark.createDataFrame(M.top_terms(model, weights.vocabulary, labels), "direction string, rank int, term string, coefficient double")
 
 
@@ -665,4 +672,24 @@ def plan_transformer_news(spark, sf_dir):
 
 @query()
 def plan_daily_table(spark, sf_dir):
-    return pipelines.daily_table(pipelines.news_features(_records(spark, sf_dir)), _rates(spark, sf_dir))
+    return _whole_daily(spark, sf_dir)
+
+
+@query()
+def plan_aligned_news(spark, sf_dir):
+    return pipelines.aligned_news(pipelines.news_features(_records(spark, sf_dir)), _rates(spark, sf_dir))
+
+
+@query()
+def plan_weekdays(spark, sf_dir):
+    return P.weekday_density(_whole_daily(spark, sf_dir))
+
+
+@query()
+def plan_coverage(spark, sf_dir):
+    return P.coverage(_whole_daily(spark, sf_dir))
+
+
+@query()
+def plan_split(spark, sf_dir):
+    return S.chronological_split(_whole_daily(spark, sf_dir).filter("n_news > 0").select(*_iso("date")), "date")
