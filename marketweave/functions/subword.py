@@ -26,7 +26,10 @@ def subword_count(text: Column, path: str = VOCABULARY, special: int = 2) -> Col
 
     @F.pandas_udf("bigint")
     def batch(texts: pd.Series) -> pd.Series:
-        coded = iter(_tokenizer(path).encode_batch([t for t in texts if isinstance(t, str)], add_special_tokens=False))
-        return pd.Series([len(next(coded).ids) + special if isinstance(t, str) else None for t in texts], dtype="Int64")
+        told, counts = [t for t in texts if isinstance(t, str)], []
+        for i in range(0, len(told), 100):  # what is coded takes many times a text's memory
+            counts += [len(c.ids) + special for c in _tokenizer(path).encode_batch(told[i:i + 100], add_special_tokens=False)]
+        coded = iter(counts)
+        return pd.Series([next(coded) if isinstance(t, str) else None for t in texts], dtype="Int64")
 
     return batch(text)

@@ -667,7 +667,7 @@ def plan_news_features(spark, sf_dir):
 
 @query()
 def plan_transformer_news(spark, sf_dir):
-    return pipelines.transformer_news(_records(spark, sf_dir), _rates(spark, sf_dir))
+    return pipelines.transformer_news(_records(spark, sf_dir), _rates(spark, sf_dir), count_tokens=subword_count)
 
 
 @query()

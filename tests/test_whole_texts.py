@@ -38,3 +38,11 @@ def test_daily_queries_over_whole_texts(spark, tables):
     assert Q.plan_coverage(spark, tables).first().mean_news == 1
     assert Q.plan_split(spark, tables).count() == 40
     assert Q.plan_weekdays(spark, tables).count() == 5
+
+
+def test_transformer_counts_subwords(spark, tables):
+    from marketweave.functions.subword import _tokenizer, VOCABULARY
+
+    got = Q.plan_transformer_news(spark, tables).limit(5).collect()
+    for r in got:
+        assert r.n_tokens == len(_tokenizer(VOCABULARY).encode(r.text_clean, add_special_tokens=False).ids) + 2 != len(r.text_clean.split())
