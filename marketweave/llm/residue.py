@@ -1,10 +1,10 @@
 """Bodies that were never filled or hold what the fetcher got instead of the page.
 
 Bodies are cut into units (lines, sentences, clauses of a notice). Trusted rules label some units as filler, notice or placeholder.
-Units get a SimHash of their words; tables keyed by pairs of hash blocks find near-duplicates of labelled units, Hamming distance
-and Jaccard similarity of five-word shingles confirm them, and labels spread through the connected components, which grow from
-the labelled units round by round until no component grows. Ids and numbers are masked before hashing. Texts whose shingles are
-0.8 alike differ in few words, so a hash of words puts them a few bits apart; a hash of shingles would not.
+Units get a SimHash of their words, by which equal ones count once, and a prefix of their sorted five-word shingles. Two units
+whose shingles are 0.8 alike share one of their prefixes, whatever their length, so near-duplicates of labelled units are all
+found by equal shingles; Jaccard similarity confirms them, and labels spread through the connected components, which grow from
+the labelled units round by round until no component grows. Ids and numbers are masked before hashing.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.unicode_forms import INVISIBLE, LOOK_ALIKE
@@ -24,9 +24,11 @@ from marketweave.session import cut_lineage, shared_checkpoint_dir, small_side
 
 #: Labels; LATIN is filler told by its vocabulary alone, which needs no near-duplicates: those are told the same way.
 NOTICE, FILLER, PLACEHOLDER, LATIN = 1, 2, 3, 4
-SHINGLE, MIN_SIMILARITY, MAX_HAMMING = 5, 0.8, 10
-#: Tables are the pairs of blocks of the hash: hashes up to blocks - 2 bits apart always share a key.
-BLOCKS = 8
+SHINGLE, MIN_SIMILARITY = 5, 0.8
+#: A unit of n different shingles has the first n // PREFIX_OF + 1 in order as keys: at a similarity of 1 - 1 / PREFIX_OF two units share one.
+PREFIX_OF = 5
+#: Bits of the table that keys are looked up in.
+TABLE_BITS = 22
 #: A notice stands in place of an article if at most so many characters of other text, outlet's lines aside, are around it.
 MAX_OTHER_CHARS = 250
 #: A unit in so many articles is an outlet's line.
@@ -196,6 +198,29 @@ class Units:
         solid, n = hashes[real], count[some]
         first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
         self.hash = simhashes(solid, first) if len(solid) else np.zeros(0, np.uint64)
+        self.solid, self.first, self.count = solid, first, n
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all units in one array, their number for each unit, and its number of different shingles."""
+        if not len(self.count):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        each = np.maximum(1, self.count - SHINGLE + 1)
+        unit = np.repeat(np.arange(len(each)), each)
+        at = np.repeat(self.first - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(len(unit))
+        end, gram = (self.first + self.count)[unit], np.zeros(len(unit), np.uint64)
+        for k in range(SHINGLE):
+            there = at + k < end
+            word = self.solid[np.where(there, at + k, 0)]
+            gram = (gram ^ np.where(there, word, np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
+            gram ^= gram >> np.uint64(29)
+        order = np.lexsort((gram, unit))
+        unit, gram = unit[order], gram[order]
+        new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (gram[1:] != gram[:-1])])
+        unit, gram = unit[new], gram[new]
+        different = np.bincount(unit, minlength=len(each))
+        keys = different // PREFIX_OF + 1
+        rank = np.arange(len(unit)) - (np.cumsum(different) - different)[unit]
+        return gram[rank < keys[unit]].view(np.int64), keys, different
 
     def label(self, i: int) -> int:
         return label([self.masked[j] for j in self.at[self.begin[i]:self.stop[i]]])
@@ -225,66 +250,54 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             labels = np.zeros(len(u.hash), np.int8)
             for j in np.flatnonzero(u.hint):
                 labels[j] = u.label(j)
-            yield pd.DataFrame({"id": ids[u.text], "h": u.hash.view(np.int64), "chars": u.length.astype(np.int32), "label": labels})
+            keys, each, different = u.prefixes()
+            yield pd.DataFrame({
+                "id": ids[u.text], "h": u.hash.view(np.int64), "chars": u.length.astype(np.int32), "label": labels,
+                "n": different.astype(np.int32), "keys": np.split(keys, np.cumsum(each)[:-1]) if len(each) else [],
+            })
             marks = [(k, p) for k, t in enumerate(texts) if (p := has_placeholder(t))]
             if marks:
                 yield pd.DataFrame({
                     "id": ids[[k for k, _ in marks]], "h": np.array([_hash(p) for _, p in marks], np.uint64).view(np.int64),
-                    "chars": np.int32(0), "label": np.int8(PLACEHOLDER),
+                    "chars": np.int32(0), "label": np.int8(PLACEHOLDER), "n": np.int32(0), "keys": [np.zeros(0, np.int64) for _ in marks],
                 })
 
 
 def text_units(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``id``, ``h``, ``chars``, ``label`` of each unit, as a table in the shared folder that later steps read."""
+    """``id``, ``h``, ``chars``, ``label``, ``n`` (different shingles) and ``keys`` of each unit, as a table in the shared folder that later steps read."""
     texts = df.select(F.col(row_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    units = texts.mapInPandas(_unit_rows, "id bigint, h bigint, chars int, label tinyint")
+    units = texts.mapInPandas(_unit_rows, "id bigint, h bigint, chars int, label tinyint, n int, keys array<bigint>")
     path = f"{shared_checkpoint_dir(df.sparkSession)}/units-{uuid.uuid4().hex}"
     units.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def _keys(h: Column) -> Column:
-    """Table number and key of a hash in each table."""
-    width = 64 // BLOCKS
-    mask = F.lit((1 << width) - 1).cast("bigint")
-    block = lambda b: F.shiftrightunsigned(h, b * width).bitwiseAND(mask)
-    pairs = [(a, b) for a in range(BLOCKS) for b in range(a)]
-    return F.array(*(F.struct(F.lit(t).alias("b"), (F.shiftleft(block(x), width) + block(y)).cast("int").alias("k")) for t, (x, y) in enumerate(pairs)))
-
-
 def _meeting(units: DataFrame, at: DataFrame) -> DataFrame:
-    """``h``, ``b``, ``k`` and an ``id`` of the units' hashes in the tables, for those that share a key with ``at``.
+    """``h``, ``n``, ``k`` and an ``id`` of the units that share a key with ``at``.
 
-    What is sent out is a bit for each of 28 tables of 65,536 keys, 1.8 million at every size; it spares all other units
-    the tables.
+    What is sent out is a table of 4.2 million bits, as large at every size; it spares all other units the join.
     """
-    tables, width = BLOCKS * (BLOCKS - 1) // 2, 2 * 64 // BLOCKS
-    taken = np.zeros(tables << width, bool)
-    taken[at.select((F.col("b") * (1 << width) + F.col("k")).alias("n")).distinct().toPandas()["n"].to_numpy(np.int64)] = True
+    shift = 64 - TABLE_BITS
+    taken = np.zeros(1 << TABLE_BITS, bool)
+    taken[at.select(F.shiftrightunsigned("k", shift).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
     shared = units.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            block = [((h >> np.uint64(b * (64 // BLOCKS))) & np.uint64((1 << (64 // BLOCKS)) - 1)).astype(np.int64) for b in range(BLOCKS)]
-            found, t = [], 0
-            for a in range(BLOCKS):
-                for b in range(a):
-                    key = (block[a] << (64 // BLOCKS)) + block[b]
-                    at_ = np.flatnonzero(bits[(t << width) + key])
-                    found.append((at_, np.full(len(at_), t, np.int32), key[at_].astype(np.int32)))
-                    t += 1
-            rows, table, key = (np.concatenate(x) for x in zip(*found))
-            hits = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([hits.column(0), hits.column(1), pa.array(table), pa.array(key)], names=["h", "id", "b", "k"])
-
-    met = units.select("h", "id").mapInArrow(meet, "h bigint, id bigint, b int, k int")
-    return met.groupBy("h", "b", "k").agg(F.min("id").alias("id"))
+            lists = batch.column(3)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            found = np.flatnonzero(bits[(keys.view(np.uint64) >> np.uint64(shift)).astype(np.int64)])
+            hits = batch.take(pa.array(row[found]))
+            yield pa.RecordBatch.from_arrays([hits.column(0), hits.column(1), hits.column(2), pa.array(keys[found], pa.int64())], names=["h", "id", "n", "k"])
+
+    met = units.select("h", "id", "n", "keys").mapInArrow(meet, "h bigint, id bigint, n int, k bigint")
+    return met.groupBy("h", "n", "k").agg(F.min("id").alias("id"))
 
 
 def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``h`` and its unit's shingle set, taken from the article ``id`` that ``wanted`` names for each hash."""
+    """``h`` and the shingle sets of its units in the articles ``id`` that ``wanted`` names."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary()
@@ -293,12 +306,11 @@ def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataF
             for h, t in zip(batch["h"], batch["_text"]):
                 u = Units(vocabulary, [t])
                 at = np.flatnonzero(u.hash.view(np.int64) == h)
-                if len(at):
-                    rows.append((h, u.shingle_set(int(at[0]))))
+                rows += [(h, u.shingle_set(int(i))) for i in at]
             yield pd.DataFrame(rows, columns=["h", "s"])
 
     texts = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("_text"))
-    return texts.join(wanted.select("id", "h"), "id").select("h", "_text").mapInPandas(extract, "h bigint, s array<bigint>").dropDuplicates(["h"])
+    return texts.join(wanted.select("id", "h"), "id").select("h", "_text").mapInPandas(extract, "h bigint, s array<bigint>").distinct()
 
 
 def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_broadcast_rows: int = 500_000) -> DataFrame:
@@ -310,18 +322,21 @@ def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_b
     labelled = cut_lineage(seeds)
     frontier = labelled
     while True:
-        at = frontier.select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.explode(_keys(F.col("h"))).alias("x"))
-        at = at.select("fh", "flabel", "fid", "x.b", "x.k")
+        few = frontier.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+        # an article of each hash holds its keys; the table of units is read for the few hashes of the frontier
+        theirs = units.drop("label").join(F.broadcast(frontier) if few else frontier, ["h", "id"]).select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.col("n").alias("fn"), F.explode("keys").alias("k"))
+        at = cut_lineage(theirs.distinct())
         near = _meeting(units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)), at)
-        pairs = near.join(at, ["b", "k"]).filter((F.col("h") != F.col("fh")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("fh"))) <= MAX_HAMMING))
-        pairs = pairs.join(labelled.select("h"), "h", "left_anti").groupBy("h", "fh").agg(F.min("id").alias("id"), F.max("flabel").alias("label"), F.min("fid").alias("fid"))
+        like = (F.col("n") * PREFIX_OF >= F.col("fn") * (PREFIX_OF - 1)) & (F.col("fn") * PREFIX_OF >= F.col("n") * (PREFIX_OF - 1))
+        pairs = near.join(at, "k").filter((F.col("h") != F.col("fh")) & like)
+        pairs = pairs.join(labelled.select("h"), "h", "left_anti").groupBy("h", "fh", "id", "fid").agg(F.max("flabel").alias("label"))
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
             break
-        wanted = pairs.select("id", "h").unionAll(pairs.select("fid", "fh")).groupBy("h").agg(F.min("id").alias("id"))
+        wanted = pairs.select("id", "h").unionAll(pairs.select("fid", "fh")).distinct()
         wanted, _ = small_side(wanted, max_broadcast_rows)
         sets = cut_lineage(_shingles(df, row_id, text, wanted))
-        both = pairs.join(sets.select("h", F.col("s").alias("s1")), "h").join(sets.select(F.col("h").alias("fh"), F.col("s").alias("s2")), "fh")
+        both = pairs.select("h", "fh", "id", "label").join(sets.select("h", F.col("s").alias("s1")), "h").join(sets.select(F.col("h").alias("fh"), F.col("s").alias("s2")), "fh")
         common = F.size(F.array_intersect("s1", "s2"))
         sure = both.filter(common >= MIN_SIMILARITY * (F.size("s1") + F.size("s2") - common))
         frontier = cut_lineage(sure.groupBy("h").agg(F.max("label").alias("label"), F.min("id").alias("id")))
