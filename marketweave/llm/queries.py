@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketweave.llm.repeated_lines import repeated_sequences
 
-    return repeated_sequences(_table(spark, sf_dir, ARTICLES), "seq", "site", "body")[0]
+    return repeated_sequences(_table(spark, sf_dir, ARTICLES), "seq", "site", "body", gaps=True)[0]
 
 
 def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
