@@ -564,12 +564,17 @@ def smp2_first_per_year(spark, sf_dir):
 
 # ---- extraction ------------------------------------------------------------------------------------------------------------
 
+def _escaped(text):
+    """Text as it stands in HTML."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 @query("""SELECT site AS page_id, url, min_by(trim(title), listing_id) AS title FROM archive_index
 WHERE regexp_matches(url, '/\\d{4}/\\d{2}/\\d{2}/') AND length(trim(title)) >= 15 AND NOT regexp_matches(title, '[<>&]') GROUP BY site, url""")
 def ext1_dd4_archive_links(spark, sf_dir):
     """Archive pages built from the listings, one per site and hundred listings, and their links taken out again."""
-    index = _t(spark, sf_dir, "archive_index").filter(~F.col("title").rlike("[<>&]"))
-    anchor = F.concat(F.lit('<li><a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'), F.col("title"), F.lit("</a></li>"))
+    index = _t(spark, sf_dir, "archive_index")
+    anchor = F.concat(F.lit('<li><a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'), _escaped(F.col("title")), F.lit("</a></li>"))
     page = F.floor(F.col("listing_id") / 100)
     rows = index.groupBy("site", page.alias("_p")).agg(F.array_sort(F.collect_list(F.struct("listing_id", anchor.alias("a")))).alias("x"))
     html = F.concat(F.lit("<html><body><a href='/'>Home</a><ul>"), F.array_join(F.transform("x", lambda r: r["a"]), "\n"), F.lit("</ul></body></html>"))
@@ -582,8 +587,8 @@ def ext1_dd4_archive_links(spark, sf_dir):
 WHERE regexp_matches(url, '/\d{4}/\d{2}/\d{2}/[a-z0-9\-]+\.html') AND regexp_extract(url, '/(\d{4}/\d{2}/\d{2})/', 1) = replace(index_date, '-', '/') AND length(trim(title)) >= 15 AND NOT regexp_matches(title, '[<>&]')""")
 def ext2_strict_links(spark, sf_dir):
     """Archive pages of one site and day, and the links on them that name the page's own date."""
-    index = _t(spark, sf_dir, "archive_index").filter(~F.col("title").rlike("[<>&]"))
-    anchor = F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'), F.col("title"), F.lit("</a>"))
+    index = _t(spark, sf_dir, "archive_index")
+    anchor = F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">'), _escaped(F.col("title")), F.lit("</a>"))
     pages = index.groupBy(F.concat_ws(" ", "site", "index_date").alias("page_id"), F.col("index_date").cast("date").alias("date")).agg(F.array_join(F.collect_list(anchor), "").alias("html"))
     got = X.archive_links(pages, "https://archive.example", ".example", strict=True)
     return got.select("page_id", "url", F.col("date").cast("string").alias("date"))
