@@ -32,14 +32,14 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketweave.llm.residue import residue_articles
 
-    return residue_articles(_table(spark, sf_dir, ARTICLES)).select("seq")
+    return residue_articles(_table(spark, sf_dir, ARTICLES), source="site").select("seq")
 
 
 def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketweave.llm.residue import residue_articles
 
     articles = _table(spark, sf_dir, ARTICLES)
-    return articles.select("seq", "site").join(residue_articles(articles).select("seq"), "seq", "left_anti")
+    return articles.select("seq", "site").join(residue_articles(articles, source="site").select("seq"), "seq", "left_anti")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ PREFIX_OF = 5
 TABLE_BITS = 22
 #: A notice stands in place of an article if at most so many characters of other text, outlet's lines aside, are around it.
 MAX_OTHER_CHARS = 250
-#: A unit in so many articles is an outlet's line.
+#: A unit in so many different bodies of one source is an outlet's line.
 STANDING_ARTICLES = 10
 
 # Notations of unfilled placeholders.
@@ -346,12 +346,13 @@ def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_b
     return labelled.select("h", "label")
 
 
-def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max_broadcast_rows: int = 500_000) -> DataFrame:
+def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max_broadcast_rows: int = 500_000, source: str | None = None) -> DataFrame:
     """``seq``, ``kind`` (notice, filler, placeholder: the strongest) of articles that hold residue.
 
     A placeholder anywhere or a unit of filler is enough. A notice counts if the text beside notices and standing lines of
     outlets has at most ``MAX_OTHER_CHARS`` characters. Null and empty texts are no residue; repeated rows give one; other
-    columns are not read. Ids must be bigint; rows without id give nothing. An empty table gives an empty result.
+    columns are not read, but for ``source``, within which standing lines are counted, over bodies that differ in letters and
+    digits; without it all articles are of one source. Ids must be bigint; rows without id give nothing. An empty table gives an empty result.
     """
     units = text_units(df, row_id, text)
     labels, _ = small_side(spread_labels(df, row_id, text, units), max_broadcast_rows)
@@ -363,9 +364,14 @@ def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max
     noticed, _ = small_side(hits.filter(F.col("label") == NOTICE).select("id"), max_broadcast_rows)
     theirs = cut_lineage(units.join(noticed, "id", "left_semi").join(labels.select("h", F.lit(True).alias("known")), "h", "left"))
     unknown, _ = small_side(theirs.filter("known is null").select("h").distinct(), max_broadcast_rows)
-    standing = units.select("h", "id").join(unknown, "h", "left_semi").groupBy("h").agg(F.count_distinct("id").alias("n"))
-    standing = standing.filter(F.col("n") >= STANDING_ARTICLES).select("h")
-    other = theirs.filter("known is null").join(standing, "h", "left_anti").groupBy("id").agg(F.sum("chars").alias("other"))
+    src = F.coalesce(F.col(source).cast("string"), F.lit("\x00")) if source else F.lit("")
+    digest = F.xxhash64(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", ""))
+    bodies = df.select(F.col(row_id).cast("bigint").alias("id"), src.alias("src"), digest.alias("digest")).filter(F.col("id").isNotNull() & F.col(text).isNotNull())
+    bodies = cut_lineage(bodies.dropDuplicates(["id"]))
+    holders = units.select("h", "id").join(unknown, "h", "left_semi").distinct()
+    standing = holders.join(bodies, "id").groupBy("h", "src").agg(F.count_distinct("digest").alias("n"))
+    standing = standing.filter(F.col("n") >= STANDING_ARTICLES).select("h", "src")
+    other = theirs.filter("known is null").join(bodies.select("id", "src"), "id").join(standing, ["h", "src"], "left_anti").groupBy("id").agg(F.sum("chars").alias("other"))
     out = hits.join(other, "id", "left").filter((F.col("label") != NOTICE) | (F.coalesce(F.col("other"), F.lit(0)) <= MAX_OTHER_CHARS))
     names = F.when(F.col("label") == PLACEHOLDER, "placeholder").when(F.col("label") == FILLER, "filler").otherwise("notice")
     return out.select(F.col("id").alias(row_id), names.alias("kind"))
