@@ -43,9 +43,9 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marketweave.llm.unicode_forms import changed_words
+    from marketweave.llm.unicode_forms import odd_words
 
-    return changed_words(_table(spark, sf_dir, ARTICLES), "seq", ("body", "description")).select("seq", "field").distinct()
+    return odd_words(_table(spark, sf_dir, ARTICLES), "seq", ("body", "description")).select("seq", "field").distinct()
 
 
 def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:

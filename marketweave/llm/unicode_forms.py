@@ -41,7 +41,9 @@ LOOK_ALIKE = {
     "ό": "ó", "ύ": "ú", "ϊ": "ï", "ϋ": "ü",
     "Ս": "U", "Տ": "S", "Օ": "O", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "ք": "f",
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮤ": "W",
-    "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮢ": "R", "Ꮥ": "S", "Ꮍ": "Y", "Ꮒ": "h", "Ꮟ": "b", "Ꮷ": "d", "Ᏼ": "B", "Ᏻ": "G",
+    "ӏ": "l", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    "գ": "q", "ռ": "n", "Լ": "L", "ჿ": "o", "ყ": "y",
 }
 
 
@@ -61,6 +63,12 @@ def _within(table: tuple) -> set[int]:
     return {c for a, b in table for c in range(a, b + 1)}
 
 
+def mixed(letters: str) -> bool:
+    """Whether a run of letters has Latin ones and some of another alphabet."""
+    other = [c.isalpha() and any(a <= ord(c) <= b for a, b in ALPHABETS) for c in letters]
+    return any(other) and any(c.isalpha() and not o and unicodedata.name(c, "").startswith("LATIN") for c, o in zip(letters, other))
+
+
 class LookAlikes:
     """Maps a word to what it looks like."""
 
@@ -112,6 +120,17 @@ class LookAlikes:
         return "".join(done)
 
 
+def mixed_word(word: Column) -> Column:
+    """Whether a word has a run of letters that is :func:`mixed`."""
+
+    @F.pandas_udf("boolean")
+    def batch(words: pd.Series) -> pd.Series:
+        runs = lambda w: "".join(c if c.isalpha() or any(a <= ord(c) <= b for a, b in ACCENTS) else " " for c in w).split(" ")
+        return words.map(lambda w: any(map(mixed, runs(w))), na_action="ignore")
+
+    return batch(word)
+
+
 def look_alike(word: Column) -> Column:
     """:class:`LookAlikes` over a column of words."""
 
@@ -151,6 +170,13 @@ def changed_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFr
     return words.join(canonical_words(words).filter(F.col("word") != F.col("canonical")), "word")
 
 
+def odd_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
+    """As :func:`changed_words`, and also words of mixed alphabets for which no look-alike is known; these keep their form."""
+    words = cut_lineage(unusual_words(df, row_id, fields))
+    told = canonical_words(words).withColumn("_mixed", mixed_word(F.col("word")))
+    return words.join(told.filter((F.col("word") != F.col("canonical")) | F.col("_mixed")).drop("_mixed"), "word")
+
+
 def unify(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
     """Row id, ``field`` and ``text`` in one form, for every text that is not null.
 
