@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +28,32 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests on one machine) a temporary folder is taken.
+    Only a session on one machine (tests) may leave it unset and gets a temporary folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     ctx = spark.sparkContext
-    current = ctx.getCheckpointDir()
-    if current is None:
+    if ctx.getCheckpointDir() is None:
+        if not named and not ctx.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         ctx.setCheckpointDir(named or tempfile.mkdtemp(prefix="marketweave-checkpoint-"))
     return ctx.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder among the shared ones, deleted when the application ends."""
+    path = f"{shared_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there, for what later steps read by columns or more than once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder; survives the loss of executors."""
     shared_checkpoint_dir(df.sparkSession)
