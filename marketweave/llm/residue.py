@@ -1,16 +1,17 @@
 """Bodies that were never filled or hold what the fetcher got instead of the page.
 
-Bodies are cut into units (lines, sentences, clauses of a notice). Trusted rules label some units as filler, notice or placeholder.
-Units get a SimHash of their words, by which equal ones count once, and a prefix of their sorted five-word shingles. Two units
-whose shingles are 0.8 alike share one of their prefixes, whatever their length, so near-duplicates of labelled units are all
-found by equal shingles; Jaccard similarity confirms them, and labels spread through the connected components, which grow from
-the labelled units round by round until no component grows. Ids and numbers are masked before hashing.
+Bodies are cut into units (lines, sentences, clauses of a notice). A few trusted seeds label some units as filler, notice or
+placeholder; all others are reached through the components of a graph of units. Its edges are of two kinds: units that are
+near-duplicates, and units that make up messages together, as the causes and hints that error pages attach to their headings.
+Units get a SimHash of their words, by which equal ones count once. Blocks of its bits would lose short units that are 0.8
+alike, so the tables are partitioned by a prefix of each unit's sorted five-word shingles, which two such units share whatever
+their length; Hamming distance and Jaccard similarity of the shingles confirm what meets. Labels spread from the seeds round by
+round until no component grows. Ids and numbers are masked before hashing.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,77 +21,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.unicode_forms import INVISIBLE, LOOK_ALIKE
-from marketweave.session import cut_lineage, shared_checkpoint_dir, small_side
+from marketweave.session import cut_lineage, shared_table, small_side
 
 #: Labels; LATIN is filler told by its vocabulary alone, which needs no near-duplicates: those are told the same way.
 NOTICE, FILLER, PLACEHOLDER, LATIN = 1, 2, 3, 4
 SHINGLE, MIN_SIMILARITY = 5, 0.8
 #: A unit of n different shingles has the first n // PREFIX_OF + 1 in order as keys: at a similarity of 1 - 1 / PREFIX_OF two units share one.
 PREFIX_OF = 5
+#: Bits in which the SimHashes of units that share a key may differ before their texts are compared; unlike texts differ in about 32.
+MAX_HAMMING = 24
 #: Bits of the table that keys are looked up in.
 TABLE_BITS = 22
+#: Lower bits of a shingle's hash that keys leave out; a batch has at most as many units as these bits can number.
+KEY_CUT = 20
 #: A notice stands in place of an article if at most so many characters of other text, outlet's lines aside, are around it.
 MAX_OTHER_CHARS = 250
 #: A unit in so many different bodies of one source is an outlet's line.
 STANDING_ARTICLES = 10
+#: A unit belongs to messages if it stands beside labelled units in so many different bodies, in such a share of the bodies that
+#: hold it, and such a share of these has no other text; units of fewer characters say too little.
+MESSAGE_BODIES, MESSAGE_SHARE, SHORT_SHARE, LEAST_CHARS = 2, 0.15, 0.9, 12
 
 # Notations of unfilled placeholders.
 PLACEHOLDERS = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}|\{%[^%\n]{1,80}%\}|<%[^%\n]{1,80}%>|[$#]\{[\w. ]{1,60}\}|\{[A-Za-z_][\w.]{0,60}\}|\[\[[\w. ]{1,60}\]\]"
-    r"|<<[\w. ]{1,60}>>|@@\w{1,60}@@|__[A-Za-z]\w{0,60}?__|%[A-Z][A-Z0-9_]{1,60}%|\$[A-Z][A-Z0-9_]{1,60}\$|\*\|\w{1,60}\|\*"
-    r"|\[(?:insert|your|enter|add)\s[^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,60}\sTK\]",
+    r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%[^%\n]+%>|[$#]\{[\w. ]+\}|\{[A-Za-z_][\w.]*\}|\[\[[\w. ]+\]\]"
+    r"|<<[\w. ]+>>|@@\w+@@|__[A-Za-z]\w*?__|%[A-Z][A-Z0-9_]+%|\$[A-Z][A-Z0-9_]+\$|\*\|\w+\|\*"
+    r"|\[(?:insert|your|enter|add)\s[^\[\]\n]+\]|\[[^\[\]\n]+\sTK\]",
     re.IGNORECASE,
 )
 PLACEHOLDER_CASE = re.compile(r"^(?:%[^%]*[a-z][^%]*%|\$[^$]*[a-z][^$]*\$)$")
 # Words of the usual filler text.
-FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna "
-    "aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure "
-    "in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
-    "culpa qui officia deserunt mollit anim id est laborum".split()
+FILLER_WORDS = frozenset((
+    "lorem", "ipsum", "dolor", "sit", "amet", "consectetur", "adipiscing", "adipisicing", "elit", "sed", "do", "eiusmod", "tempor",
+    "incididunt", "ut", "labore", "et", "dolore", "magna", "aliqua", "enim", "ad", "minim", "veniam", "quis", "nostrud",
+    "exercitation", "ullamco", "laboris", "nisi", "aliquip", "ex", "ea", "commodo", "consequat", "duis", "aute", "irure", "in",
+    "reprehenderit", "voluptate", "velit", "esse", "cillum", "eu", "fugiat", "nulla", "pariatur", "excepteur", "sint", "occaecat",
+    "cupidatat", "non", "proident", "sunt", "culpa", "qui", "officia", "deserunt", "mollit", "anim", "id", "est", "laborum",
+))
+# Words that fill a place when they are said over and over.
+SAY_NOTHING = frozenset(("tk", "asdf", "qwerty", "test", "text", "teks", "contoh", "texto", "ejemplo", "sample", "dummy", "placeholder", "copy", "blah"))
+# The seeds of filler, on masked text; a short phrase said three times over is one too.
+FILLER_SEED = re.compile(
+    r"^(?:this is (?:only |just )?)?(?:a )?(?:placeholder|dummy|filler|sample|blind) ?(?:text|copy|content)\b|\b(?:dummy text|platzhalter|texto de relleno)$"
+    r"|\b(?:text|content|copy) (?:goes here|to come)$|^(?:please )?(?:enter|insert|add|type) (?:your )?(?:text|title|copy|content)(?: here)?$"
 )
-# Filler other than that, on masked text.
-FILLER_TEXT = re.compile(
-    r"(?:\bx{3,}\b ?){3,}|(?:\btk\b ?){2,}|\basdf asdf\b|^(?:\S+ ){0,6}(?:draft 9 )?text to come$|\bbody copy goes here\b|^end of dummy text$"
-    r"|^sample paragraph 9?$|^dies ist nur ein platzhalter$|\bhier steht später der richtige beitrag\b|^blindtext 9$"
-    r"|(?:\bteks contoh\b ?){2,}|\bhapus sebelum terbit$|^(?:this is (?:only )?)?(?:placeholder|dummy|filler) text$"
-    r"|^(?:esto es )?texto de (?:relleno|ejemplo|prueba)\b|^(?:the )?quick brown fox jumps over the lazy dog$|\binsert text here\b"
+# The seeds of notices, on masked text: a status, a failure, a wait, scripts that are wanted, a page that is missing.
+NOTICE_SEED = re.compile(
+    r"^(?:http |error |fehler |kesalahan )+(?:[45]xx|9)\b|^[45]xx (?:\w+ ){0,2}(?:not found|forbidden|unavailable|timeout|error)"
+    r"|^(?:internal server|fatal|database connection) error\b|^uncaught exception\b|^too many requests\b|^(?:sorry )?something went wrong\b|^(?:your session 9 has expired|access denied)\b"
+    r"|^(?:checking your (?:connection|browser)|loading (?:page|story) 9)\b|\byour browser does not support (?:javascript|scripts|scripting)\b|\b(?:aktivieren sie|aktifkan|active) javascript\b"
+    r"|^(?:\w+ ){0,4}(?:javascript|scripts) (?:is|are) (?:required|disabled|turned off|blocked)\b|^(?:please )?(?:enable|turn on|activate) (?:javascript|scripts)\b"
+    r"|^(?:sorry )?(?:this|the) (?:page|story|article|content|site)(?: \w+){0,5} (?:does not exist|could not be (?:loaded|found)|(?:is )?not available)\b|^this (?:page|story) isn't available\b"
+    r"|^(?:this (?:site|page) (?:requires|needs) (?:javascript|scripts)|terjadi kesalahan pada server)\b"
+    r"|^(?:página|seite|halaman) (?:no|não|nicht|tidak) (?:encontrada|gefunden|ditemukan)\b"
+    r"|^(?:an|our|the) (?:\w+ )?(?:error|servers?) (?:has occurred|(?:is|are) (?:having|experiencing) (?:trouble|difficulties))\b"
 )
-# Error messages and script notices, on masked text.
-NOTICE_TEXT = re.compile(
-    r"^(?:http )?(?:error|fehler|kesalahan|galat)(?: code)? 9|^9 (?:not found|forbidden|gateway|service|bad gateway|unauthori[sz]ed|gone|internal|too many)"
-    r"|^(?:internal server error|bad gateway|gateway timeout|access denied|page (?:not found|unavailable)|database connection error"
-    r"|request blocked|service (?:interrupted|(?:temporarily )?unavailable)|fatal error|error del servidor|(?:oops|whoops|uh oh)(?: that broke)?|too many requests"
-    r"|halaman tidak ditemukan|seite nicht gefunden|página no encontrada|terjadi kesalahan|uncaught exception|http 9"
-    r"|sorry something went wrong|this page isn't available|we could not find the (?:story|page)|your session 9 has expired"
-    r"|you do not have permission|please log in again|the requested page 9|checking your (?:connection|browser)|loading story"
-    r"|database error|site under maintenance|are you a (?:human|robot)|verify (?:that )?you are (?:a )?human)\b"
-    r"|^(?:<noscript>)?(?:scripts? (?:are|is) (?:disabled|blocked|off)|javascript (?:is )?(?:required|turned off|disabled|needed)|no script support"
-    r"|skripte sind aus|skrip dimatikan|(?:please |bitte )?(?:enable|aktivieren sie|aktifkan|active|activa) (?:javascript|scripts)"
-    r"|you need to enable (?:scripts|javascript)|this (?:site|page) (?:requires|needs) (?:javascript|scripts)|your browser (?:blocks|does not support)"
-    r"|we noticed that scripts|we need scripting|this reader only runs with javascript|one more step)\b"
-    r"|\bwas not found on this server$|\ban unexpected condition was met while\b|\bthe (?:article store|upstream server) (?:did not|returned)|\bthe cache node is down\b|\bthe feed took too long\b"
-    r"|\bthis content is not available in your region\b|\bsilakan coba beberapa saat lagi$|\bplease sign in again and retry\b"
-    r"|\bswitch them on and load the page\b|\byour address has been refused\b|\bthe address was mistyped\b|\bturn it on and reload page\b"
-)
-# Words that make a unit worth the rules above; every text the rules take holds one.
+# Words that make a unit worth the rules above; every text that the rules take holds one.
 HINT = re.compile(
-    r"^(?:x{3,}|tk|asdf|text|copy|dummy|paragraph|platzhalter|steht|blindtext|teks|terbit|texto|placeholder|filler|fox|insert"
-    r"|error|fehler|kesalahan|galat|9|found|forbidden|gateway|server|denied|unavailable|blocked|interrupted|servidor|oops|whoops|broke|unexpected|requests|ditemukan|gefunden"
-    r"|encontrada|exception|wrong|available|find|expired|permission|log|requested|checking|loading|database|maintenance|human|robot|http"
-    r"|scripts?|javascript|session|own|connection|skripte|skrip|browser|scripting|step|store|node|feed|region|lagi|retry|switch|refused|mistyped|reload)$"
-)
-# Of these messages the ones that no sentence about such things holds; an outlet's line may run into them.
-INNER_NOTICE = re.compile(
-    r"\b(?:halaman tidak ditemukan|seite nicht gefunden|página no encontrada|terjadi kesalahan pada server|your session 9 has expired|you do not have permission to view"
-    r"|checking your connection before|loading story 9|skripte sind aus|skrip dimatikan|no script support found|scripts are disabled"
-    r"|javascript is turned off|please enable javascript|bitte aktivieren sie javascript|aktifkan javascript|active javascript en|you need to enable scripts"
-    r"|this site requires javascript|your browser blocks active|your browser does not support scripting|we noticed that scripts are blocked"
-    r"|error del servidor|too many requests from|something went wrong on our end|9 gateway timeout|service temporarily unavailable|9 not found the requested page"
-    r"|database connection error|access denied you do not|internal server error 9)\b"
+    r"^(?:[45]xx|error|fehler|kesalahan|http|javascript|scripts|page|story|article|content|site|página|seite|halaman|servers?|text|copy|platzhalter|relleno|title"
+    r"|exception|requests|something|session|access|checking|loading|browser|kesalahan)$"
 )
-_EDGES = " .,;:!?\"'()[]<>…|-–—#*«»“”‘’/\\=_{}%$@^~`+&"
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
+_EDGES = "\x00 .,;:!?\"'()[]<>…|-–—#*«»“”‘’/\\=_{}%$@^~`+&"
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
+_STATUS = re.compile(r"[45]\d\d$")
 _FOLD = {c: None for a, b in INVISIBLE for c in range(a, b + 1) if c not in (9, 10, 13)}
 _FOLD |= {ord(a): b for a, b in LOOK_ALIKE.items()}
 _FOLD |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {0xFB00: "ff", 0xFB01: "fi", 0xFB02: "fl", 0x3000: " "}
@@ -118,10 +111,10 @@ class Vocabulary:
 
     def add(self, word: str) -> int:
         low = word.lower().strip(_EDGES)
-        masked = "9" if any(c.isdigit() for c in low) else low
+        masked = (f"{low[0]}xx" if _STATUS.match(low) else "9") if any(c.isdigit() for c in low) else low
         ends = word in _SEPARATORS or word[-1] in ".!?…" or word.rstrip("\"')]”’»")[-1:] in (".", "!", "?", "…") or (word[-1] == ":" and len(word) > 1)
         self.masked.append(masked)
-        self.rows.append((_hash(masked) if masked else 0, ends, masked in _LOREM_HINT or bool(masked and masked != "9" and HINT.match(masked))))
+        self.rows.append((_hash(masked) if masked else 0, ends, masked in _LOREM_HINT or bool(HINT.match(masked))))
         n = self.ids[word] = len(self.masked) - 1
         self.table = None
         return n
@@ -136,6 +129,18 @@ class Vocabulary:
 _LOREM_HINT = frozenset("lorem ipsum consectetur adipiscing adipisicing eiusmod incididunt aliqua labore tempor magna amet dolore".split())
 
 
+def said_over(words: list[str]) -> bool:
+    """Whether a phrase of up to three words that say nothing stands three times in a row."""
+    empty = [w in SAY_NOTHING or (len(w) > 2 and w == w[0] * len(w)) for w in words]
+    for n in (1, 2, 3):
+        same = 0
+        for i in range(n, len(words)):
+            same = same + 1 if empty[i] and words[i] == words[i - n] else 0
+            if same >= 2 * n:
+                return True
+    return False
+
+
 def label(masked: list[str]) -> int:
     """Trusted label of a unit of masked words, 0 if none."""
     words = [w for w in masked if w]
@@ -143,9 +148,9 @@ def label(masked: list[str]) -> int:
     if len(words) >= 3 and known >= 0.8 * len(words) and any(w in _LOREM_HINT for w in words):
         return LATIN
     text = " ".join(words)
-    if FILLER_TEXT.search(text):
+    if FILLER_SEED.search(text) or said_over(words):
         return FILLER
-    return NOTICE if len(words) <= 40 and (NOTICE_TEXT.search(text) or INNER_NOTICE.search(text)) else 0
+    return NOTICE if NOTICE_SEED.search(text) else 0
 
 
 def simhashes(features: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -179,6 +184,7 @@ class Units:
             w.append(_BREAK)
             words += w
             sizes.append(len(w))
+        sizes = np.array(sizes, np.int64)
         ids, add = v.ids, v.add
         at = np.fromiter((ids[w] if w in ids else add(w) for w in words), np.int64, len(words))
         hashes, ends, hint = (c[at] for c in v.columns())
@@ -193,34 +199,44 @@ class Units:
         self.begin, self.stop = begin[some], stop[some]
         self.text = np.searchsorted(text_end, self.begin, side="right")
         self.length = np.add.reduceat(length, begin)[some]
-        self.hint = np.add.reduceat(hint, begin, dtype=np.int64)[some] > 0
+        over = np.zeros(len(at), bool)
+        for k in (1, 2, 3):  # the same word k words on, twice
+            n = max(0, len(at) - 2 * k)
+            over[:n] |= (hashes[:n] == hashes[k:k + n]) & (hashes[:n] == hashes[2 * k:2 * k + n]) & real[:n]
+        self.hint = np.add.reduceat(hint | over, begin, dtype=np.int64)[some] > 0
+        # of all words of a text, masks applied, in any order
+        self.digest = np.add.reduceat(hashes, text_end - sizes)
         # signs alone are no words
         solid, n = hashes[real], count[some]
         first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
         self.hash = simhashes(solid, first) if len(solid) else np.zeros(0, np.uint64)
         self.solid, self.first, self.count = solid, first, n
 
-    def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of all units in one array, their number for each unit, and its number of different shingles."""
-        if not len(self.count):
+    def prefixes(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of some units in one array, their number for each unit, and its number of different shingles."""
+        if not len(of):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        each = np.maximum(1, self.count - SHINGLE + 1)
+        begin, count = self.first[of], self.count[of]
+        each = np.maximum(1, count - SHINGLE + 1)
         unit = np.repeat(np.arange(len(each)), each)
-        at = np.repeat(self.first - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(len(unit))
-        end, gram = (self.first + self.count)[unit], np.zeros(len(unit), np.uint64)
+        at = np.repeat(begin - (np.cumsum(each) - each), each) + np.arange(len(unit))
+        end, gram = (begin + count)[unit], np.zeros(len(unit), np.uint64)
         for k in range(SHINGLE):
             there = at + k < end
             word = self.solid[np.where(there, at + k, 0)]
             gram = (gram ^ np.where(there, word, np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
             gram ^= gram >> np.uint64(29)
-        order = np.lexsort((gram, unit))
-        unit, gram = unit[order], gram[order]
-        new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (gram[1:] != gram[:-1])])
-        unit, gram = unit[new], gram[new]
+        # units and the upper bits of their shingles in one number, which sorts faster than two
+        bits = np.uint64(max(1, int(len(of)).bit_length()))
+        both = np.sort((unit.astype(np.uint64) << (np.uint64(64) - bits)) | (gram >> bits))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        unit, gram = (both >> (np.uint64(64) - bits)).astype(np.int64), both << bits
         different = np.bincount(unit, minlength=len(each))
         keys = different // PREFIX_OF + 1
         rank = np.arange(len(unit)) - (np.cumsum(different) - different)[unit]
-        return gram[rank < keys[unit]].view(np.int64), keys, different
+        chosen = rank < keys[unit]
+        # the order must not depend on the number of units beside: the same upper bits for every batch
+        return (gram[chosen] & ~np.uint64((1 << KEY_CUT) - 1)).view(np.int64), keys, different
 
     def label(self, i: int) -> int:
         return label([self.masked[j] for j in self.at[self.begin[i]:self.stop[i]]])
@@ -241,38 +257,53 @@ def has_placeholder(text: str) -> str | None:
 
 
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    vocabulary = Vocabulary()
+    vocabulary, told = Vocabulary(), set()
+    none = np.zeros(0, np.int64)
     for batch in batches:
         for i in range(0, len(batch), 500):
             part = batch.iloc[i:i + 500]
-            ids, texts = part["_id"].to_numpy(np.int64), part["_text"].tolist()
+            ids, source, texts = part["_id"].to_numpy(np.int64), part["_source"].to_numpy(np.int64), part["_text"].tolist()
             u = Units(vocabulary, texts)
             labels = np.zeros(len(u.hash), np.int8)
             for j in np.flatnonzero(u.hint):
                 labels[j] = u.label(j)
-            keys, each, different = u.prefixes()
+            # one row of a hash that this worker meets carries its keys
+            first = np.unique(u.hash, return_index=True)[1]
+            fresh = np.array([j for j in first.tolist() if u.hash[j] not in told], np.int64)
+            told.update(u.hash[fresh].tolist())
+            if len(told) > 1_000_000:
+                told.clear()
+            keys, n = np.full(len(u.hash), None, object), np.zeros(len(u.hash), np.int32)
+            for a in range(0, len(fresh), 1 << KEY_CUT):
+                of = fresh[a:a + (1 << KEY_CUT) - 1]
+                found, each, n[of] = u.prefixes(of)
+                keys[of] = [k for k in np.split(found, np.cumsum(each)[:-1])] if len(of) > 1 else [found]
             yield pd.DataFrame({
                 "id": ids[u.text], "h": u.hash.view(np.int64), "chars": u.length.astype(np.int32), "label": labels,
-                "n": different.astype(np.int32), "keys": np.split(keys, np.cumsum(each)[:-1]) if len(each) else [],
+                "s": source[u.text], "d": u.digest[u.text].view(np.int64), "n": n, "keys": keys,
             })
             marks = [(k, p) for k, t in enumerate(texts) if (p := has_placeholder(t))]
             if marks:
+                at = [k for k, _ in marks]
                 yield pd.DataFrame({
-                    "id": ids[[k for k, _ in marks]], "h": np.array([_hash(p) for _, p in marks], np.uint64).view(np.int64),
-                    "chars": np.int32(0), "label": np.int8(PLACEHOLDER), "n": np.int32(0), "keys": [np.zeros(0, np.int64) for _ in marks],
+                    "id": ids[at], "h": np.array([_hash(p) for _, p in marks], np.uint64).view(np.int64), "chars": np.int32(0), "label": np.int8(PLACEHOLDER),
+                    "s": source[at], "d": u.digest[at].view(np.int64), "n": np.int32(0), "keys": [none for _ in marks],
                 })
 
 
-def text_units(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``id``, ``h``, ``chars``, ``label``, ``n`` (different shingles) and ``keys`` of each unit, as a table in the shared folder that later steps read."""
-    texts = df.select(F.col(row_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    units = texts.mapInPandas(_unit_rows, "id bigint, h bigint, chars int, label tinyint, n int, keys array<bigint>")
-    path = f"{shared_checkpoint_dir(df.sparkSession)}/units-{uuid.uuid4().hex}"
-    units.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def text_units(df: DataFrame, row_id: str, text: str, source: str | None = None) -> DataFrame:
+    """``id``, ``h``, ``chars``, ``label`` of each unit, ``s`` (its source) and ``d`` (a digest of its body), as a table in the shared folder.
 
+    ``n`` (different shingles) and ``keys`` are set in one row at least of each ``h``.
+    """
+    src = F.xxhash64(F.col(source)) if source else F.lit(0).cast("bigint")
+    texts = df.select(F.col(row_id).cast("bigint").alias("_id"), src.alias("_source"), F.col(text).alias("_text"))
+    texts = texts.filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
+    units = texts.mapInPandas(_unit_rows, "id bigint, h bigint, chars int, label tinyint, s bigint, d bigint, n int, keys array<bigint>")
+    return shared_table(units, "units")
 
-def _meeting(units: DataFrame, at: DataFrame) -> DataFrame:
+
+def _meeting(keyed: DataFrame, at: DataFrame) -> DataFrame:
     """``h``, ``n``, ``k`` and an ``id`` of the units that share a key with ``at``.
 
     What is sent out is a table of 4.2 million bits, as large at every size; it spares all other units the join.
@@ -280,7 +311,7 @@ def _meeting(units: DataFrame, at: DataFrame) -> DataFrame:
     shift = 64 - TABLE_BITS
     taken = np.zeros(1 << TABLE_BITS, bool)
     taken[at.select(F.shiftrightunsigned("k", shift).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
-    shared = units.sparkSession.sparkContext.broadcast(np.packbits(taken))
+    shared = keyed.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
@@ -292,7 +323,7 @@ def _meeting(units: DataFrame, at: DataFrame) -> DataFrame:
             hits = batch.take(pa.array(row[found]))
             yield pa.RecordBatch.from_arrays([hits.column(0), hits.column(1), hits.column(2), pa.array(keys[found], pa.int64())], names=["h", "id", "n", "k"])
 
-    met = units.select("h", "id", "n", "keys").mapInArrow(meet, "h bigint, id bigint, n int, k bigint")
+    met = keyed.select("h", "id", "n", "keys").mapInArrow(meet, "h bigint, id bigint, n int, k bigint")
     return met.groupBy("h", "n", "k").agg(F.min("id").alias("id"))
 
 
@@ -313,37 +344,85 @@ def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataF
     return texts.join(wanted.select("id", "h"), "id").select("h", "_text").mapInPandas(extract, "h bigint, s array<bigint>").distinct()
 
 
+def _alike(df: DataFrame, row_id: str, text: str, keyed: DataFrame, labelled: DataFrame, frontier: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """``h``, ``label`` of units that aren't labelled yet and are near-duplicates of the frontier."""
+    few, _ = small_side(frontier, max_broadcast_rows)
+    theirs = keyed.join(few.select("h", F.col("label").alias("flabel")), "h").select(F.col("h").alias("fh"), "flabel", F.col("n").alias("fn"), "id", F.explode("keys").alias("k"))
+    at = cut_lineage(theirs.groupBy("fh", "flabel", "fn", "k").agg(F.min("id").alias("fid")))
+    near = _meeting(keyed, at)
+    like = (F.col("n") * PREFIX_OF >= F.col("fn") * (PREFIX_OF - 1)) & (F.col("fn") * PREFIX_OF >= F.col("n") * (PREFIX_OF - 1))
+    like = like & (F.bit_count(F.col("h").bitwiseXOR(F.col("fh"))) <= MAX_HAMMING)
+    pairs = near.join(at, "k").filter((F.col("h") != F.col("fh")) & like)
+    pairs = pairs.join(labelled.select("h"), "h", "left_anti").groupBy("h", "fh").agg(F.max("flabel").alias("label"), F.min("id").alias("id"), F.min("fid").alias("fid"))
+    pairs = cut_lineage(pairs)
+    if pairs.isEmpty():
+        return pairs.select("h", "label")
+    wanted, _ = small_side(pairs.select("id", "h").unionAll(pairs.select("fid", "fh")).distinct(), max_broadcast_rows)
+    sets = cut_lineage(_shingles(df, row_id, text, wanted))
+    both = pairs.select("h", "fh", "label").join(sets.select("h", F.col("s").alias("s1")), "h").join(sets.select(F.col("h").alias("fh"), F.col("s").alias("s2")), "fh")
+    common = F.size(F.array_intersect("s1", "s2"))
+    sure = both.filter(common >= MIN_SIMILARITY * (F.size("s1") + F.size("s2") - common))
+    return cut_lineage(sure.groupBy("h").agg(F.max("label").alias("label")))
+
+
+def _standing(units: DataFrame, of: DataFrame) -> DataFrame:
+    """``h``, ``s`` of the units ``of`` that are lines of the source ``s``: they are in many different bodies of it."""
+    holders = units.join(of, "h", "left_semi").groupBy("h", "s").agg(F.count_distinct("d").alias("n"))
+    return holders.filter(F.col("n") >= STANDING_ARTICLES).select("h", "s")
+
+
+def _other_text(units: DataFrame, ids: DataFrame, labels: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """``id``, ``h``, ``chars``, ``d`` of the units in the articles ``ids`` that are neither labelled nor lines of their source."""
+    theirs = units.filter(F.col("chars") > 0).select("id", "h", "chars", "s", "d").join(ids, "id", "left_semi").join(labels.select("h"), "h", "left_anti")
+    theirs = cut_lineage(theirs)
+    unknown, _ = small_side(theirs.select("h").distinct(), max_broadcast_rows)
+    return theirs.join(_standing(units, unknown), ["h", "s"], "left_anti").select("id", "h", "chars", "d")
+
+
+def _together(units: DataFrame, labelled: DataFrame, frontier: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """``h``, ``label`` of units that make up messages with labelled ones, the frontier's among them.
+
+    A unit counts by the bodies that hold it: enough of them hold a labelled notice, and nearly all have no text but labelled
+    units, standing lines and little else. Common lines are out by the first count, before any other text is read.
+    """
+    labels, _ = small_side(labelled, max_broadcast_rows)
+    fresh, _ = small_side(frontier, max_broadcast_rows)
+    known = units.join(labels.filter(F.col("label") == NOTICE).select("h"), "h", "left_semi").select("id").distinct()
+    known, _ = small_side(known, max_broadcast_rows)
+    touched = units.join(fresh.filter(F.col("label") == NOTICE).select("h"), "h", "left_semi").select("id").distinct()
+    touched, _ = small_side(touched, max_broadcast_rows)
+    beside = units.filter(F.col("chars") >= LEAST_CHARS).join(touched, "id", "left_semi").select("h").distinct().join(labels.select("h"), "h", "left_anti")
+    beside, _ = small_side(beside, max_broadcast_rows)
+    held = units.join(beside, "h", "left_semi").select("h", "id", "d").join(known.select("id", F.lit(True).alias("known")), "id", "left")
+    counts = held.groupBy("h").agg(F.count_distinct("d").alias("n"), F.count_distinct(F.when(F.col("known"), F.col("d"))).alias("told"))
+    maybe = counts.filter((F.col("told") >= MESSAGE_BODIES) & (F.col("told") >= MESSAGE_SHARE * F.col("n"))).select("h")
+    maybe, _ = small_side(maybe, max_broadcast_rows)
+    ids, _ = small_side(units.join(maybe, "h", "left_semi").select("id").distinct(), max_broadcast_rows)
+    other = cut_lineage(_other_text(units, ids, labels, max_broadcast_rows).groupBy("id", "h", "d").agg(F.sum("chars").alias("chars")))
+    whole = other.groupBy("id").agg(F.sum("chars").alias("all"))
+    each = other.join(maybe, "h", "left_semi").join(whole, "id").select("h", "d", (F.col("all") - F.col("chars") <= MAX_OTHER_CHARS).alias("short"))
+    each = each.groupBy("h").agg(F.count_distinct("d").alias("n"), F.count_distinct(F.when(F.col("short"), F.col("d"))).alias("short"))
+    return cut_lineage(each.filter(F.col("short") >= SHORT_SHARE * F.col("n")).select("h", F.lit(NOTICE).cast("tinyint").alias("label")))
+
+
 def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_broadcast_rows: int = 500_000) -> DataFrame:
     """``h``, ``label`` of all units in components that hold a trusted label (notice and filler; the others stand alone).
 
     Units of the same words, masks applied, have one hash and count as one text. Rounds go on until none adds a unit.
     """
-    seeds = units.filter(F.col("label").isin(NOTICE, FILLER)).groupBy("h").agg(F.max("label").alias("label"), F.min("id").alias("id"))
-    labelled = cut_lineage(seeds)
-    frontier = labelled
+    keyed = units.filter(F.size("keys") > 0).filter(~F.col("label").isin(PLACEHOLDER, LATIN)).select("h", "id", "n", "keys")
+    labelled = cut_lineage(units.filter(F.col("label").isin(NOTICE, FILLER)).groupBy("h").agg(F.max("label").alias("label")))
+    alike = beside = labelled
     while True:
-        few = frontier.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-        # an article of each hash holds its keys; the table of units is read for the few hashes of the frontier
-        theirs = units.drop("label").join(F.broadcast(frontier) if few else frontier, ["h", "id"]).select(F.col("h").alias("fh"), F.col("label").alias("flabel"), F.col("id").alias("fid"), F.col("n").alias("fn"), F.explode("keys").alias("k"))
-        at = cut_lineage(theirs.distinct())
-        near = _meeting(units.filter(~F.col("label").isin(PLACEHOLDER, LATIN)), at)
-        like = (F.col("n") * PREFIX_OF >= F.col("fn") * (PREFIX_OF - 1)) & (F.col("fn") * PREFIX_OF >= F.col("n") * (PREFIX_OF - 1))
-        pairs = near.join(at, "k").filter((F.col("h") != F.col("fh")) & like)
-        pairs = pairs.join(labelled.select("h"), "h", "left_anti").groupBy("h", "fh", "id", "fid").agg(F.max("flabel").alias("label"))
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            break
-        wanted = pairs.select("id", "h").unionAll(pairs.select("fid", "fh")).distinct()
-        wanted, _ = small_side(wanted, max_broadcast_rows)
-        sets = cut_lineage(_shingles(df, row_id, text, wanted))
-        both = pairs.select("h", "fh", "id", "label").join(sets.select("h", F.col("s").alias("s1")), "h").join(sets.select(F.col("h").alias("fh"), F.col("s").alias("s2")), "fh")
-        common = F.size(F.array_intersect("s1", "s2"))
-        sure = both.filter(common >= MIN_SIMILARITY * (F.size("s1") + F.size("s2") - common))
-        frontier = cut_lineage(sure.groupBy("h").agg(F.max("label").alias("label"), F.min("id").alias("id")))
-        if frontier.isEmpty():
-            break
-        labelled = cut_lineage(labelled.unionAll(frontier))
-    return labelled.select("h", "label")
+        if not alike.isEmpty():
+            alike = _alike(df, row_id, text, keyed, labelled, alike, max_broadcast_rows)
+            labelled = cut_lineage(labelled.unionAll(alike))
+            beside = beside.unionAll(alike)
+            continue
+        if beside.isEmpty():
+            return labelled
+        alike = beside = _together(units, labelled, beside, max_broadcast_rows)
+        labelled = cut_lineage(labelled.unionAll(alike))
 
 
 def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max_broadcast_rows: int = 500_000, source: str | None = None) -> DataFrame:
@@ -351,10 +430,10 @@ def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max
 
     A placeholder anywhere or a unit of filler is enough. A notice counts if the text beside notices and standing lines of
     outlets has at most ``MAX_OTHER_CHARS`` characters. Null and empty texts are no residue; repeated rows give one; other
-    columns are not read, but for ``source``, within which standing lines are counted, over bodies that differ in letters and
-    digits; without it all articles are of one source. Ids must be bigint; rows without id give nothing. An empty table gives an empty result.
+    columns are not read, but for ``source``, within which standing lines are counted, over bodies that differ in their masked
+    words; without it all articles are of one source. Ids must be bigint; rows without id give nothing. An empty table gives an empty result.
     """
-    units = text_units(df, row_id, text)
+    units = text_units(df, row_id, text, source)
     labels, _ = small_side(spread_labels(df, row_id, text, units), max_broadcast_rows)
     told = F.when(F.col("label") == LATIN, FILLER).otherwise(PLACEHOLDER)
     sure = units.filter(F.col("label").isin(PLACEHOLDER, LATIN)).select("id", told.alias("label"))
@@ -362,16 +441,7 @@ def residue_articles(df: DataFrame, row_id: str = "seq", text: str = "body", max
     hits = sure.unionAll(hits.select("id", F.col("known").cast("int"))).groupBy("id").agg(F.max("label").alias("label"))
     hits = cut_lineage(hits)
     noticed, _ = small_side(hits.filter(F.col("label") == NOTICE).select("id"), max_broadcast_rows)
-    theirs = cut_lineage(units.join(noticed, "id", "left_semi").join(labels.select("h", F.lit(True).alias("known")), "h", "left"))
-    unknown, _ = small_side(theirs.filter("known is null").select("h").distinct(), max_broadcast_rows)
-    src = F.coalesce(F.col(source).cast("string"), F.lit("\x00")) if source else F.lit("")
-    digest = F.xxhash64(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", ""))
-    bodies = df.select(F.col(row_id).cast("bigint").alias("id"), src.alias("src"), digest.alias("digest")).filter(F.col("id").isNotNull() & F.col(text).isNotNull())
-    bodies = cut_lineage(bodies.dropDuplicates(["id"]))
-    holders = units.select("h", "id").join(unknown, "h", "left_semi").distinct()
-    standing = holders.join(bodies, "id").groupBy("h", "src").agg(F.count_distinct("digest").alias("n"))
-    standing = standing.filter(F.col("n") >= STANDING_ARTICLES).select("h", "src")
-    other = theirs.filter("known is null").join(bodies.select("id", "src"), "id").join(standing, ["h", "src"], "left_anti").groupBy("id").agg(F.sum("chars").alias("other"))
+    other = _other_text(units, noticed, labels, max_broadcast_rows).groupBy("id").agg(F.sum("chars").alias("other"))
     out = hits.join(other, "id", "left").filter((F.col("label") != NOTICE) | (F.coalesce(F.col("other"), F.lit(0)) <= MAX_OTHER_CHARS))
     names = F.when(F.col("label") == PLACEHOLDER, "placeholder").when(F.col("label") == FILLER, "filler").otherwise("notice")
     return out.select(F.col("id").alias(row_id), names.alias("kind"))
