@@ -21,10 +21,10 @@ def test_labels_spread_to_what_stands_with_them(spark):
     heads, causes = ["404 Not Found", "Gatekeeper says no", "503 Service Unavailable"], ["the story kiln went cold today", "a clerk lost the ledger of pages", "nobody fed the page engine"]
     rows = [(i, f"{heads[i // 3 * 2]}: {c} (X{i}7)") for i, c in enumerate(causes * 2)]
     rows += [(100 + i, f"{heads[1]}: {c} (X{i}7)") for i, c in enumerate(causes)]
-    rows += [(200, f"{heads[1]}: it is shut for repairs"), (201, f"{PROSE}\n{OTHER} {heads[1]}: it is shut"), (202, PROSE), (203, OTHER)]
+    rows += [(200, f"{heads[1]}: it is shut for repairs"), (201, f"{PROSE}\n{OTHER} {heads[0]}: it is shut"), (202, PROSE), (203, OTHER)]
     assert found(spark, rows) == {*range(6), 100, 101, 102, 200}
     units = R.text_units(spark.createDataFrame(rows, "seq long, body string"), "seq", "body")
-    assert {r.id for r in units.filter("label > 0").select("id").collect()} == set(range(6))
+    assert {r.id for r in units.filter("label > 0").select("id").collect()} == {*range(6), 201}
 
 
 def test_keys_do_not_depend_on_the_batch():
