@@ -154,8 +154,10 @@ def parse(value: str | None, outlet_zone: str | None) -> tuple[str | None, int |
 
 
 def _batch(value: pd.Series, outlet_zone: pd.Series) -> pd.DataFrame:
-    zones = (z if isinstance(z, str) else None for z in outlet_zone)
-    out = pd.DataFrame([parse(v, z) for v, z in zip(value, zones)], columns=["family", "main", "other"], dtype=object)
+    """Readings of each value; what occurs several times in a batch is parsed once."""
+    at, pairs = pd.MultiIndex.from_arrays([value, outlet_zone]).factorize()
+    told = [parse(v, z if isinstance(z, str) else None) for v, z in pairs]
+    out = pd.DataFrame([told[i] for i in at], columns=["family", "main", "other"], dtype=object)
     return out.astype({"main": "Int64", "other": "Int64"})
 
 

@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from marketweave.functions.timestamps import parse
 from marketweave.operators.timestamp_mixture import normalise_timestamps
 
@@ -73,3 +75,20 @@ def test_empty(spark):
     habits = spark.createDataFrame([], HABITS)
     df = spark.createDataFrame([], "id int, source string, value string")
     assert normalise_timestamps(df, "value", "source", habits).count() == 0
+
+
+def test_order_without_habit_and_against_it(spark):
+    """The order is learnt from values that only one order reads, and from how near the readings are to what is expected."""
+    rows = [("a", f"{d:02d}/{m:02d}/2023 08:00", us(2023, m, d)) for m in range(1, 13) for d in (3, 9, 14, 27)]
+    rows += [("b", f"{m:02d}/{d:02d}/2023 08:00", us(2023, m, d)) for m in range(1, 13) for d in (2, 7, 11)]  # both orders read all of them
+    rows += [("c", f"{m:02d}/{d:02d}/2023 08:00", us(2023, m, d)) for m in range(1, 13) for d in range(14, 20)]  # told to be day first
+    rows += [("d", f"{m:02d}/{m + 1:02d}/2023 08:00", None) for m in range(1, 10)]
+    df = spark.createDataFrame([(*r, r[2] and r[2] + 3_600_000_000 * 30) for r in rows], "source string, value string, want long, near long").withColumn("day", F.col("want"))
+    habits = spark.createDataFrame([("a", "UTC", None), ("b", "UTC", None), ("c", "UTC", True), ("d", "UTC", None)], HABITS)
+    got = normalise_timestamps(df, "value", "source", habits, expected_us=F.col("near")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.source == "d":
+            assert (r.utc_us, r.reading_status) == (None, "ambiguous")
+        else:
+            assert r.utc_us == r.want + 8 * 3_600_000_000, (r.source, r.value)
