@@ -1,7 +1,8 @@
 """One form for texts that look alike but differ in their characters.
 
-Words that hold an unusual character are mapped to their look-alike; mapped values are grouped under the accent-sensitive
-Unicode collation; each class has one canonical member, which is joined back into the texts.
+Words that hold an unusual character are mapped to their look-alike; mapped values and the spellings that the corpus has of them
+are grouped under the accent-sensitive Unicode collation; each class has one canonical member, its commonest spelling, which is
+joined back into the texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.session import cut_lineage
+from marketweave.session import cut_lineage, small_side
 
 # Ranges of wide and joined presentation forms of ordinary letters, digits and signs.
 PRESENTATION = ((0xFF01, 0xFF60), (0xFFE0, 0xFFEE), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x1D400, 0x1D7FF))
@@ -26,8 +27,11 @@ INVISIBLE = (
 )
 # Spaces other than the ordinary one.
 SPACES = ((0x00A0, 0x00A0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-# Ranges of alphabets besides Latin.
-ALPHABETS = ((0x0370, 0x03FF), (0x0400, 0x052F), (0x0531, 0x058F), (0x10A0, 0x10FF), (0x13A0, 0x13FF), (0x1C80, 0x1C8F), (0x1F00, 0x1FFF), (0x2C80, 0x2CFF), (0x2DE0, 0x2DFF), (0xA640, 0xA69F), (0xAB70, 0xABBF))
+# Ranges of alphabets besides Latin; scripts of syllables and ideographs are none.
+ALPHABETS = (
+    (0x0370, 0x10FF), (0x1200, 0x1CFF), (0x1F00, 0x1FFF), (0x2C80, 0x2DFF), (0xA4D0, 0xA6FF), (0xA800, 0xA95F), (0xA980, 0xABFF), (0xFB1D, 0xFB4F),
+    (0x10280, 0x1BFFF),
+)
 # Letters of other alphabets and the Latin letters that they look like.
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
@@ -150,43 +154,64 @@ def unusual_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFr
     return texts.select(row_id, "field", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(UNUSUAL_WORD), F.lit(0)))).alias("word"))
 
 
-def canonical_words(words: DataFrame) -> DataFrame:
-    """``word``, ``canonical``: mapped values that the collation holds equal have one canonical member, the plainest.
+def spellings(df: DataFrame, fields: tuple[str, ...], of: DataFrame) -> DataFrame:
+    """``word``, ``n``: in how many texts each word of ``of`` stands as it is; partial counts leave a word one row per task."""
+    parts = F.array(*(F.col(f) for f in fields))
+    texts = df.select(F.explode(parts).alias("text")).filter(F.col("text").isNotNull())
+    each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
+    return each.join(of, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def canonical_words(words: DataFrame, ordinary: DataFrame | None = None) -> DataFrame:
+    """``word``, ``canonical``: words whose mapped values the collation holds equal have one canonical member.
 
-    Plainest is the shortest, of these the first in binary order; it does not depend on the rows' order. Counting different
-    words first leaves a word of any frequency one row per task.
+    The members of a class are the mapped values and, with ``ordinary`` (``word``, ``n``), the spellings that the corpus has of
+    them; canonical is the commonest, of these the shortest, of these the first in binary order, so it does not depend on the rows'
+    order. Only what the mapping leaves as it is can be canonical. Counting different words first leaves a word of any frequency
+    one row per task.
     """
     mapped = words.select("word").distinct().withColumn("_mapped", look_alike(F.col("word")))
-    mapped = mapped.withColumn("_class", F.collate("_mapped", "UNICODE"))
-    members = mapped.groupBy("_class").agg(F.min(F.struct(F.length("_mapped").alias("n"), F.col("_mapped").alias("m"))).alias("_best"))
+    values = mapped.select(F.col("_mapped").alias("m"), F.lit(0).cast("bigint").alias("n"))
+    if ordinary is not None:
+        values = values.unionAll(ordinary.select(F.col("word").alias("m"), "n"))
+    values = values.groupBy("m").agg(F.sum("n").alias("n")).withColumn("_class", F.collate("m", "UNICODE"))
+    members = values.groupBy("_class").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("m").alias("l"), F.col("m").alias("m"))).alias("_best"))
     members = members.select("_class", F.col("_best.m").alias("canonical"))
-    return mapped.join(members, "_class").select("word", "canonical")
+    return mapped.withColumn("_class", F.collate("_mapped", "UNICODE")).join(members, "_class").select("word", "canonical")
+
+
+def classes(df: DataFrame, fields: tuple[str, ...], words: DataFrame, max_broadcast_rows: int = 500_000) -> DataFrame:
+    """:func:`canonical_words` of unusual words, over all spellings that the corpus has of what they are mapped to."""
+    mapped, _ = small_side(words.select("word").distinct().select(look_alike(F.col("word")).alias("word")).distinct(), max_broadcast_rows)
+    return cut_lineage(canonical_words(words, spellings(df, fields, mapped)))
 
 
 def changed_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
     """Row id, ``field``, ``word``, ``canonical`` of each word that is not its class's canonical member."""
     # both sides of the join read the words; the texts are searched once
     words = cut_lineage(unusual_words(df, row_id, fields))
-    return words.join(canonical_words(words).filter(F.col("word") != F.col("canonical")), "word")
+    return words.join(classes(df, fields, words).filter(F.col("word") != F.col("canonical")), "word")
 
 
 def odd_words(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
     """As :func:`changed_words`, and also words of mixed alphabets for which no look-alike is known; these keep their form."""
     words = cut_lineage(unusual_words(df, row_id, fields))
-    told = canonical_words(words).withColumn("_mixed", mixed_word(F.col("word")))
+    told = classes(df, fields, words).withColumn("_mixed", mixed_word(F.col("word")))
     return words.join(told.filter((F.col("word") != F.col("canonical")) | F.col("_mixed")).drop("_mixed"), "word")
 
 
 def unify(df: DataFrame, row_id: str, fields: tuple[str, ...]) -> DataFrame:
     """Row id, ``field`` and ``text`` in one form, for every text that is not null.
 
-    Empty texts stay empty. Ids must be unique. Only rows with a changed word cross the join back with words; the others
-    keep their text.
+    Empty texts stay empty. Ids must be unique. Texts without an unusual character pass by; only the others meet the words that
+    change, in a shuffle of their own.
     """
     swaps = changed_words(df, row_id, fields).groupBy(row_id, "field").agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("_swap"))
     parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
     texts = df.select(row_id, F.explode(parts).alias("_x")).select(row_id, "_x.field", "_x.text").filter(F.col("text").isNotNull())
-    out = texts.join(swaps, [row_id, "field"], "left")
+    unusual = F.col("text").rlike(MAYBE_UNUSUAL) & F.col("text").rlike(f"[{UNUSUAL}]")
+    out = texts.filter(unusual).join(swaps, [row_id, "field"], "left")
     pieces = F.regexp_extract_all("text", F.lit(rf"[^{ORDINARY_SPACE}]+|[{ORDINARY_SPACE}]+"), F.lit(0))
     swapped = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.col("_swap"), p), p)), "")
-    return out.select(row_id, "field", F.when(F.col("_swap").isNull(), F.col("text")).otherwise(swapped).alias("text"))
+    out = out.select(row_id, "field", F.when(F.col("_swap").isNull(), F.col("text")).otherwise(swapped).alias("text"))
+    return texts.filter(~unusual).select(row_id, "field", "text").unionAll(out)
