@@ -55,9 +55,9 @@ def p4_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marketweave.llm.repeated_lines import repeated_sequences
+    from marketweave.llm.repeated_lines import repeated_lines
 
-    return repeated_sequences(_table(spark, sf_dir, ARTICLES), "seq", "site", "body")[1]
+    return repeated_lines(_table(spark, sf_dir, ARTICLES), "seq", "site", "body")[1].select("seq", "line_no")
 
 
 def p5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,5 +177,13 @@ WITH lines AS (
   FROM (SELECT seq, site, string_split(body, chr(10)) AS parts FROM {ARTICLES} WHERE body IS NOT NULL)
 ), frequent AS (SELECT site, line FROM lines WHERE line <> '' GROUP BY site, line HAVING count(DISTINCT seq) >= 10)
 SELECT seq, CAST(line_no AS BIGINT) AS line_no FROM lines JOIN frequent USING (site, line)""",
+    "p5_cleaned": f"""
+WITH lines AS (
+  SELECT seq, site, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS raw,
+         regexp_replace(unnest(parts), '^[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+$', '', 'g') AS line
+  FROM (SELECT seq, site, string_split(body, chr(10)) AS parts FROM {ARTICLES} WHERE body IS NOT NULL)
+), frequent AS (SELECT site, line, true AS often FROM lines WHERE line <> '' GROUP BY site, line HAVING count(DISTINCT seq) >= 10),
+left_ AS (SELECT seq, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (often IS NULL), '') AS body, count(*) FILTER (often) AS removed FROM lines LEFT JOIN frequent USING (site, line) GROUP BY seq)
+SELECT seq, l.body, coalesce(removed, 0) AS removed FROM (SELECT seq FROM {ARTICLES}) LEFT JOIN left_ l USING (seq)""",
     "p7_found": f"SELECT seq FROM {ARTICLES} WHERE length(body) > 3000",
 }
