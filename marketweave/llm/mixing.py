@@ -1,13 +1,15 @@
 """One mix of several sources in target shares of all tokens, with capped repetition.
 
 Each source's documents are cut into blocks of a fixed number of tokens. Output shards draw how many slots each source has from
-a multinomial with the targets, held to the sources' totals; a source's slots map to its blocks through pseudorandom
+a multinomial with the targets, held to the sources' totals, each range of shards on its own executor; a source's slots map to its blocks through pseudorandom
 permutations of the block numbers, one for each round through the source; slots join blocks by number.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,6 @@ from marketweave.session import cut_lineage
 BLOCK_TOKENS = 256
 #: Sources of a mix are a table kept by hand; beyond so many the plan on the driver is refused.
 MAX_SOURCES = 100_000
-#: Most output shards; beyond it they grow, so that the draws stay few.
-MAX_SHARDS = 10_000
 
 
 def allot(available: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: int) -> np.ndarray:
@@ -50,30 +50,63 @@ def allot(available: np.ndarray, share: np.ndarray, repeats: np.ndarray, total:
     return out
 
 
-def draw_shards(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each output shard: multinomial draws, given that the shards add up to the sources' totals."""
-    rng, left = np.random.default_rng(seed), slots.copy()
-    out = np.zeros((shards, len(slots)), np.int64)
-    for k in range(shards):
-        size = math.ceil(left.sum() / (shards - k))
-        take = np.zeros(len(slots), np.int64)
-        need, rest = size, int(left.sum())
-        for i in range(len(slots)):  # one hypergeometric draw a source: exact, and valid for any totals
-            rest -= int(left[i])
-            got = int(left[i]) if need >= left[i] + rest else int(_hypergeometric(rng, int(left[i]), rest, need))
-            take[i], need = got, need - got
-        out[k], left = take, left - take
-    return out
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn from ``good`` and ``bad`` are good; an exact draw at any size.
 
-
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    numpy draws up to a thousand million; beyond, a ratio of uniforms on the probabilities themselves is accepted or rejected.
+    """
     if good == 0 or n == 0:
         return 0
+    if bad == 0 or n == good + bad:
+        return min(n, good)
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    p = good / (good + bad)
-    spread = math.sqrt(n * p * (1 - p) * max(0.0, 1 - n / (good + bad)))
-    return int(min(good, n, max(0, n - bad, round(rng.normal(n * p, spread)))))
+    whole, lowest, highest = good + bad, max(0, n - bad), min(n, good)
+    weight = lambda k: -(lgamma(k + 1) + lgamma(good - k + 1) + lgamma(n - k + 1) + lgamma(bad - n + k + 1))
+    peak = weight(min(max((n + 1) * (good + 1) // (whole + 2), lowest), highest))
+    middle = n * good / whole + 0.5
+    # the hat's width for a distribution of this variance, with Stadlober's constants
+    width = 1.7155277699214135 * math.sqrt(n * (good / whole) * (bad / whole) * (whole - n) / (whole - 1) + 0.5) + 0.8989161620588988
+    while True:
+        u, v = rng.random(), rng.random()
+        if not u:
+            continue
+        at = middle + width * (v - 0.5) / u
+        if lowest <= at < highest + 1 and 2 * math.log(u) <= weight(k := math.floor(at)) - peak:
+            return k
+
+
+def draw_range(slots: np.ndarray, shards: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of output shards ``low`` to ``high``: number, slots of each source before it, and slots of each source in it.
+
+    Multinomial draws, given that the shards add up to the sources' totals: halves of the shards share out what they have, down to
+    single shards. Each split is seeded by its place, so any range can be drawn on its own and fits the others.
+    """
+    total = int(slots.sum())
+    upto = lambda k: -(-total * k // shards)
+
+    def share(a: int, b: int, have: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, first, have
+            return
+        mid = (a + b) // 2
+        rng, need, rest = np.random.default_rng([seed, a, b]), upto(mid) - upto(a), int(have.sum())
+        left = np.zeros(len(have), np.int64)
+        for i in np.flatnonzero(have):
+            rest -= int(have[i])
+            left[i] = hypergeometric(rng, int(have[i]), rest, need)
+            need -= int(left[i])
+        yield from share(a, mid, left, first)
+        yield from share(mid, b, have - left, first + left)
+
+    return share(0, shards, slots, np.zeros(len(slots), np.int64))
+
+
+def draw_shards(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Slots of each source in each output shard."""
+    return np.array([have for _, _, have in draw_range(slots, shards, seed, 0, shards)]).reshape(shards, len(slots))
 
 
 def permuted(index: Column, size: Column, key: Column) -> Column:
@@ -167,17 +200,28 @@ def mix_sources(
     # tokens first, then blocks of each source's own mean size
     tokens = allot(own, share, repeats, int(own.sum()))
     slots = np.minimum(np.rint(tokens * n / np.maximum(own, 1)).astype(np.int64), n * repeats)
-    shards = max(1, min(math.ceil(slots.sum() / shard_slots), MAX_SHARDS))
-    drawn = draw_shards(slots, shards, seed)
-    first = np.cumsum(drawn, axis=0) - drawn
-    at, of = np.nonzero(drawn)
-    rows = pd.DataFrame({
-        "shard": at, "source": plan["source"].to_numpy()[of], "_from": first[at, of], "_take": drawn[at, of], "_blocks": n[of],
-        "_at": (np.cumsum(drawn, axis=1) - drawn)[at, of], "_key": of,
-    })
+    shards = max(1, math.ceil(slots.sum() / shard_slots))
+    # executors draw for ranges of shards; what they are sent is a number for each targeted source
+    sources, task_shards = plan["source"].tolist(), 64
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for task in batch["id"].tolist():
+                for k, first, have in draw_range(slots, shards, seed, task * task_shards, min((task + 1) * task_shards, shards)):
+                    of = np.flatnonzero(have)
+                    if not len(of):
+                        continue
+                    yield pd.DataFrame({
+                        "shard": k, "source": [sources[i] for i in of], "_from": first[of], "_take": have[of], "_blocks": n[of],
+                        "_at": (np.cumsum(have) - have)[of], "_key": of,
+                    })
+
     schema = "shard bigint, source string, _from bigint, _take bigint, _blocks bigint, _at bigint, _key bigint"
-    ranges = spark.createDataFrame(rows, schema) if len(rows) else spark.createDataFrame([], schema)
-    slot = ranges.repartition(max(1, min(len(rows), shards)), "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("_take") - 1)).alias("_i"))
+    tasks = math.ceil(shards / task_shards)
+    ranges = spark.range(0, tasks, 1, max(1, min(tasks, 10_000))).mapInPandas(draw, schema)
+    # a shard's slots are at most shard_slots, and so are the rows that one range unfolds into
+    spread_ = max(1, min(shards, 16 * spark.sparkContext.defaultParallelism))
+    slot = ranges.repartition(spread_, "shard").select("*", F.explode(F.sequence(F.lit(0), F.col("_take") - 1)).alias("_i"))
     order = F.col("_from") + F.col("_i")
     slot = slot.withColumn("round", F.floor(order / F.col("_blocks")).cast("bigint"))
     key = F.xxhash64(F.lit(seed), F.col("_key"), F.col("round"))

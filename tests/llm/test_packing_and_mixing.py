@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marketweave.llm.mixing import allot, draw_shards, mix_sources, permuted
+from marketweave.llm.mixing import allot, draw_range, draw_shards, hypergeometric, mix_sources, permuted
 from marketweave.llm.packing import pack, pack_items
 from marketweave.llm.tokens import TOKENIZER, count_tokens, encoder, with_token_counts
 
@@ -103,3 +103,21 @@ def test_mix_of_nothing(spark):
     assert mix.count() == 0 and [r.tokens for r in shares.collect()] == [0]
     some = spark.createDataFrame([(1, "a", 10)], "doc_id long, source string, tokens long")
     assert mix_sources(some, targets.limit(0))[0].count() == 0
+
+
+def test_ranges_of_shards_fit_together():
+    slots = np.array([5, 0, 310, 77])
+    whole = draw_shards(slots, 13, 3)
+    assert whole.sum(axis=0).tolist() == slots.tolist() and set(whole.sum(axis=1).tolist()) <= {30, 31}
+    for low, high in ((0, 4), (4, 5), (5, 13)):
+        for k, first, have in draw_range(slots, 13, 3, low, high):
+            assert low <= k < high and have.tolist() == whole[k].tolist() and first.tolist() == whole[:k].sum(axis=0).tolist()
+
+
+def test_large_draws():
+    rng = np.random.default_rng(4)
+    good, bad, n = 3 * 10**10, 7 * 10**10, 10**6
+    got = np.array([hypergeometric(rng, good, bad, n) for _ in range(3000)])
+    sd = (n * 0.3 * 0.7) ** 0.5
+    assert abs(got.mean() - 0.3 * n) < 5 * sd / 3000 ** 0.5 and abs(got.std() / sd - 1) < 0.06
+    assert hypergeometric(rng, 5, 10**10, 10**10 + 5) == 5 and hypergeometric(rng, 10**10, 0, 7) == 7 and hypergeometric(rng, 2, 10**12, 10**6) in (0, 1, 2)
