@@ -1,7 +1,8 @@
 """Reading level of documents from n-gram surprisal.
 
-Interpolated trigram models, one for each rated level, are trained on rated documents. A document's surprisal under each gives its
-expected level; isotonic regression maps it to the levels, per language. Texts fall on two sides by their hash; each side is
+Interpolated trigram models, one for each rated level, are trained on rated documents. A document's surprisal is distributed over its
+words under each; mean and upper quantiles of the distributions, easier models against harder ones, rise with the level. Isotonic
+regression maps them to the chance of being above each level, per language; the chances add up to the difficulty. Texts fall on two sides by their hash; each side is
 scored with models trained on the other, so no text meets models that have learned it, and the regression sees the scores of
 unrated texts. The fit is on a bounded sample of rated documents; every document is scored whole.
 """
@@ -14,23 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 5
 #: Most rated documents that the models and the regression are fitted on.
 MAX_FIT_DOCS = 4000
-#: Most n-grams of each order that a model keeps, the most frequent first; bounds what is broadcast.
-MAX_NGRAMS = 500_000
+#: Most characters of all these documents together; bounds what the driver gets and what is broadcast.
+MAX_FIT_CHARS = 40_000_000
 #: Weights of unigrams, bigrams and trigrams.
 WEIGHTS = (0.3, 0.4, 0.3)
-#: How strongly a difference in mean surprisal (nats) counts in the expected level.
-SHARPNESS = 3.0
+#: Weights of the mean and of the quantiles at 3/4 and 9/10 of a surprisal distribution (nats).
+PROFILE = (1.0, 0.25, 0.25)
+#: Weight of a model by how many levels it is away from the border between two levels.
+NEARER = 0.5
 #: A word in fewer rated documents is taken as rare; rare words are one word to the models.
 MIN_WORD_DOCS = 4
 #: A language with fewer rated documents is mapped by the regression over all languages.
 MIN_LANGUAGE_DOCS = 60
 
+#: A column for each border between two levels.
+ABOVE = tuple(f"above_{k}" for k in range(1, LEVELS))
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -99,9 +104,6 @@ class LevelModel:
         uniq, at = np.unique(all_, return_inverse=True)
         n = np.zeros((len(uniq), LEVELS))
         np.add.at(n, (at, level), 1)
-        if len(uniq) > MAX_NGRAMS:
-            keep = np.sort(np.argsort(-n.sum(axis=1), kind="stable")[:MAX_NGRAMS])
-            uniq, n = uniq[keep], n[keep]
         return uniq, n
 
     @staticmethod
@@ -129,10 +131,11 @@ class LevelModel:
         return -np.log(WEIGHTS[0] * p1 + WEIGHTS[1] * p2 + WEIGHTS[2] * p3)
 
     def score(self, texts: list[list[str]]) -> pd.DataFrame:
-        """``language``, ``score`` (expected level), mean and 90 % quantile of surprisal; NaN for texts without words."""
+        """``language``, ``above_1`` to ``above_4`` (how much less a text surprises the models above a level than those up to it), mean and
+        90 % quantile of the least surprisal; NaN for texts without words."""
         seqs = [self.encode(t) for t in texts]
         n = np.array([len(s) for s in seqs])
-        out = pd.DataFrame({"language": [None] * len(texts), "score": np.nan, "surprisal_mean": np.nan, "surprisal_p90": np.nan})
+        out = pd.DataFrame({"language": [None] * len(texts), **dict.fromkeys(ABOVE, np.nan), "surprisal_mean": np.nan, "surprisal_p90": np.nan})
         some = np.flatnonzero(n)
         if not len(some):
             return out
@@ -140,10 +143,14 @@ class LevelModel:
         start = np.concatenate([[0], np.cumsum(n[some])[:-1]])
         h = self.surprisals(flat, start)
         mean = np.add.reduceat(h, start, axis=0) / n[some][:, None]
-        z = -SHARPNESS * (mean - mean.min(axis=1, keepdims=True))
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        out.loc[some, "score"] = p @ np.arange(1, LEVELS + 1)
+        profile = PROFILE[0] * mean
+        for row, a, k in zip(profile, start.tolist(), n[some].tolist()):
+            upper, top = k * 3 // 4, k * 9 // 10
+            part = np.partition(h[a:a + k], (upper, top), axis=0)
+            row += PROFILE[1] * part[upper] + PROFILE[2] * part[top]
+        for k, name in enumerate(ABOVE, 1):
+            easier, harder = NEARER ** np.arange(k)[::-1], NEARER ** np.arange(LEVELS - k)
+            out.loc[some, name] = profile[:, :k] @ easier / easier.sum() - profile[:, k:] @ harder / harder.sum()
         best = h.min(axis=1)
         out.loc[some, "surprisal_mean"] = np.add.reduceat(best, start) / n[some]
         out.loc[some, "surprisal_p90"] = [np.partition(best[a:a + k], k * 9 // 10)[k * 9 // 10] for a, k in zip(start, n[some])]
@@ -165,12 +172,18 @@ class LevelGrader:
             if train.sum() < 20:
                 train = np.ones(len(texts), bool)
             self.models.append(LevelModel([t for t, m in zip(texts, train) if m], whole[train], [x for x, m in zip(languages, train) if m]))
-        scored = self.score(texts, side).assign(y=levels).dropna(subset=["score"])
-        ends = (np.array([1.0, LEVELS]), np.array([1.0, LEVELS]))
-        self.maps: dict[str | None, tuple[np.ndarray, np.ndarray]] = {None: isotonic(scored["score"].to_numpy(), scored["y"].to_numpy()) if len(scored) else ends}
+        scored = self.score(texts, side).assign(y=levels).dropna(subset=[ABOVE[0]])
+        self.maps: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {None: self._fit(scored)}
         for language, g in scored.groupby("language"):
             if len(g) >= MIN_LANGUAGE_DOCS:
-                self.maps[language] = isotonic(g["score"].to_numpy(), g["y"].to_numpy())
+                self.maps[language] = self._fit(g)
+
+    @staticmethod
+    def _fit(scored: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each border the map from a text's value to its chance of being above; nothing to fit on gives even chances."""
+        if scored.empty:
+            return [(np.zeros(1), np.full(1, 0.5))] * len(ABOVE)
+        return [isotonic(scored[name].to_numpy(), np.clip(scored["y"].to_numpy() - k, 0, 1)) for k, name in enumerate(ABOVE, 1)]
 
     def score(self, texts: list[list[str]], side: np.ndarray) -> pd.DataFrame:
         parts = []
@@ -185,15 +198,15 @@ class LevelGrader:
         out = np.full(len(scored), np.nan)
         names = scored["language"].to_numpy(object)
         for language in set(names):
-            x, y = self.maps.get(language, self.maps[None])
             at = names == language
-            out[at] = np.interp(scored["score"].to_numpy()[at], x, y)
-        out[scored["score"].isna().to_numpy()] = np.nan
+            maps = self.maps.get(language, self.maps[None])
+            out[at] = 1 + sum(np.interp(scored[name].to_numpy()[at], x, y) for name, (x, y) in zip(ABOVE, maps))
+        out[scored[ABOVE[0]].isna().to_numpy()] = np.nan
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> LevelGrader:
-    """Models and maps from at most ``max_fit_docs`` rated documents, chosen by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, max_fit_chars: int = MAX_FIT_CHARS) -> LevelGrader:
+    """Models and maps from at most ``max_fit_docs`` rated documents of at most ``max_fit_chars`` characters, chosen by a hash of their id.
 
     A document's rating is the mean of its ratings that are not null and within the levels. Without any rated document there is
     nothing to fit: an error.
@@ -203,7 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) ->
     share = min(1.0, 0.95 * max_fit_docs / max(rated.count(), 1))
     chosen = rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_fit_docs)
     few = docs.select("doc_id", "text", "lang").filter(F.length(F.trim("text")) > 0).join(F.broadcast(chosen), "doc_id")
-    few = few.dropDuplicates(["doc_id"]).withColumn("_side", side_of("text")).toPandas().sort_values("doc_id")
+    # first the lengths, a row for each chosen document, then the texts of those that fit in
+    sizes = few.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id"))
+    fitting = sizes.withColumn("upto", upto).filter(F.col("upto") <= max_fit_chars).select("doc_id")
+    few = few.join(F.broadcast(fitting), "doc_id").dropDuplicates(["doc_id"]).withColumn("_side", side_of("text")).toPandas().sort_values("doc_id")
     if few.empty:
         raise ValueError("no rated documents")
     return LevelGrader([words(t) for t in few["text"]], few["level"].to_numpy(float), few["lang"].tolist(), few["_side"].to_numpy(int))

@@ -49,3 +49,18 @@ def test_bounded_fit_and_nothing_to_fit(spark):
     with pytest.raises(ValueError):
         R.fit(d, labels.limit(0))
     assert R.reading_levels(d.limit(0), labels).count() == 0
+
+
+def test_fit_keeps_to_its_characters(spark):
+    docs = corpus(60, 3)
+    d = spark.createDataFrame([(i, t, "en") for i, t, _ in docs] + [(1000, "word " * 100_000, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in docs] + [(1000, 3)], "doc_id long, level int")
+    grader = R.fit(d, labels, max_fit_chars=400_000)
+    assert "word" not in grader.models[0].ids and "word" not in grader.models[1].ids
+
+
+def test_borders_are_monotone(spark):
+    docs = corpus(300, 4)
+    grader = R.LevelGrader([R.words(t) for _, t, _ in docs], np.array([float(x) for _, _, x in docs]), ["en"] * 300, np.arange(300) % 2)
+    for x, y in grader.maps[None]:
+        assert (np.diff(y) >= 0).all() and y.min() >= 0 and y.max() <= 1
