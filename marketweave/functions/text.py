@@ -75,8 +75,11 @@ def squeeze(text: Column) -> Column:
 
 
 def cut_boilerplate(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Texts without the patterns' sentences; a text that holds none of their fixed words is not searched for them."""
     spaces = lambda p: p.replace(r"\s", r"[\s\x85\u2028\u2029]")  # noqa: E731  (what NFKC leaves besides ASCII white space)
-    return reduce(lambda t, p: F.regexp_replace(t, "(?i)" + spaces(p), " "), patterns, text)
+    hinted = lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in V.BOILERPLATE_HINTS))
+    cut = reduce(lambda t, p: F.regexp_replace(t, "(?i)" + spaces(p), " "), patterns, text)
+    return F.when(F.element_at(F.transform(F.array(F.lower(text)), hinted), 1), cut).otherwise(text)
 
 
 def clean_terms(text: Column) -> Column:

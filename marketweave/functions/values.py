@@ -24,11 +24,13 @@ DROP_TYPES = ("cnbcvideo", "video", "slideshow", "livestream", "wildcard", "blog
 DROP_SECTIONS = ("pro:", "quote", "make it", "select", "press release")
 PAID_SECTIONS = ("pro:", "investing club")
 # Words that the normal form leaves out.
-STOPWORDS = tuple(
-    "a an the and or but if while of at by for with about into through during to from in on off over under again then once here "
-    "there all any both each few more most other some such than too very can will just should now is are was were be been being "
-    "have has had do does did doing would could this that these those i you he she it we they them his her its their our as so up "
-    "out also said".split()
+STOPWORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "while", "of", "at", "by", "for", "with", "about", "into", "through", "during",
+    "to", "from", "in", "on", "off", "over", "under", "again", "then", "once", "here", "there", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "than", "too", "very", "can", "will", "just", "should", "now", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "doing", "would", "could", "this", "that",
+    "these", "those", "i", "you", "he", "she", "it", "we", "they", "them", "his", "her", "its", "their", "our", "as", "so",
+    "up", "out", "also", "said",
 )
 # Boilerplate of the term-weight chain.
 BOILERPLATE_TERMS = (
@@ -58,6 +60,11 @@ BOILERPLATE_TRANSFORMER = (
     r"This report is from today'?s CNBC Daily Open[^.]*\.\s*CNBC Daily Open brings investors up to speed[^.]*\.\s*"
     r"Like what you see\?\s*You can subscribe here\s*\.",
 )
+# Of these, in lower case, every text that the patterns take holds one.
+BOILERPLATE_HINTS = (
+    "sign up ", "subscribe to cnbc", "confidential news tip", "contributed to this", "watch cnbc", "read more:", "correction:", "disclosure:",
+    "this is breaking news", "in this article", "t miss", "this report is from today",
+)
 # A label at the start and a footer to the end that the transformer chain cuts.
 LEADING_LABEL = r"^\s*In this article\s*"
 TRAILING_FOOTER = r"Click here to read Jim Cramer's Guide to Investing.*$"
@@ -69,6 +76,12 @@ RATE_MONTHS = {
     "november": 11, "desember": 12, "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "agu": 8, "ags": 8, "sep": 9,
     "okt": 10, "nov": 11, "des": 12,
 }
+# English month names and abbreviations.
+MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10,
+    "november": 11, "december": 12, "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10,
+    "nov": 11, "dec": 12,
+}
 # Study period, cut-off hour, zone shift of the fixing, dead zone of the direction label, thresholds.
 FIRST_DAY, LAST_DAY = "2021-09-01", "2026-09-01"
 CUTOFF_HOUR, MARKET_ZONE, FLAT = 8, "Asia/Jakarta", 0.0005

@@ -77,11 +77,10 @@ def align(news: DataFrame, rates: DataFrame, utc: str = "published_utc") -> Data
     return out.withColumn("hours_to_fixing", hours_to_fixing(F.col("target_date"), F.col("published_wib")))
 
 
-def daily_news(aligned: DataFrame, with_text: bool = True) -> DataFrame:
-    """One row per target day: counts and means of its news, and their texts in order of time and url.
+def daily_news(aligned: DataFrame, with_text: bool = False) -> DataFrame:
+    """One row per target day: counts and means of its news; ``with_text`` adds their texts in order of time and url.
 
-    The joined text is one value a day, which suits news of a market; for a corpus whose days outgrow a row leave it out
-    (``with_text=False``) and take :func:`daily_texts`.
+    The joined text is one value a day, which suits news of a market; a corpus whose days outgrow a row has :func:`daily_texts`.
     """
     texts = F.array_sort(F.collect_list(F.when(F.col("text_norm") != "", F.struct("published_utc", "url", "text_norm"))))
     joined = [F.array_join(F.transform(texts, lambda x: x["text_norm"]), " ").alias("text_norm_concat")] if with_text else []

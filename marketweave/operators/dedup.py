@@ -23,9 +23,10 @@ def joined_values(column: str) -> Column:
     return F.array_join(F.sort_array(F.collect_set(column)), "|")
 
 
-def keyword_trail(df: DataFrame, key: str, columns: dict[str, str], counted: str) -> DataFrame:
-    """Per key the joined values of some columns and the number of different values of another."""
-    return df.groupBy(key).agg(*(joined_values(c).alias(n) for n, c in columns.items()), F.count_distinct(counted).alias("n_keyword_hits"))
+def keyword_trail(df: DataFrame, key: str, columns: dict[str, str], counted: str, *more: Column) -> DataFrame:
+    """Per key the joined values of some columns, the number of different values of another, and ``more`` aggregates."""
+    joined = (joined_values(c).alias(n) for n, c in columns.items())
+    return df.groupBy(key).agg(*joined, F.size(F.collect_set(counted)).cast("bigint").alias("n_keyword_hits"), *more)
 
 
 def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.functions import text as T
 from marketweave.functions import values as V
+from marketweave.functions.subword import subword_count
 from marketweave.operators import alignment as A
 from marketweave.operators import selection as S
 from marketweave.operators.dedup import keep_one, keyword_trail
@@ -18,11 +19,13 @@ def news_stages(records: DataFrame) -> DataFrame:
     The cheap filters come first, so that fewer rows cross to Python. ``records`` needs ``seq`` for the order of arrival.
     """
     r = records.withColumn("url", F.btrim("url", F.lit(T.WHITE)))
-    trail = keyword_trail(r, "url", {"search_keywords": "search_keyword", "keyword_groups": "keyword_group"}, "search_keyword")
-    # the texts stay out of both deduplications; they meet the rows that are left once
-    narrow = keep_one(r.select("seq", "url", T.title_key(F.coalesce(F.col("title"), F.lit("nan"))).alias("_key")), ["url"], "seq")
-    one = r.join(keep_one(narrow, ["_key"], "seq").select("seq"), "seq", "left_semi")
-    text = one.filter(~S.dropped_type(F.col("type")) & ~S.dropped_section(F.col("section")))
+    # both deduplications and the trail are of narrow rows; the texts meet the rows that are left once
+    key = T.title_key(F.coalesce(F.col("title"), F.lit("nan")))
+    first = F.min_by(F.struct("seq", key.alias("_key")), F.col("seq")).alias("_first")
+    trail = keyword_trail(r, "url", {"search_keywords": "search_keyword", "keyword_groups": "keyword_group"}, "search_keyword", first)
+    trail = trail.select(F.col("_first.seq").alias("seq"), F.col("_first._key").alias("_key"), "search_keywords", "keyword_groups", "n_keyword_hits")
+    chosen = keep_one(trail, ["_key"], "seq").drop("_key")
+    text = r.filter(~S.dropped_type(F.col("type")) & ~S.dropped_section(F.col("section"))).join(chosen, "seq")
     text = T.computed_once(text, {f"{n}_clean": T.clean_terms(F.col(c)) for n, c in (("title", "title"), ("desc", "description"), ("body", "body"))})
     text = T.computed_once(text, {
         "text_for_filter": T.join_parts(F.col("title_clean"), F.col("desc_clean")),
@@ -34,7 +37,7 @@ def news_stages(records: DataFrame) -> DataFrame:
     })
     text = text.withColumns({"relevance_score": T.lexicon_score(F.col("_terms")), "matched_terms": F.array_join("_terms", "|")})
     text = text.withColumn("keep", F.col("long_enough") & (F.col("relevance_score") >= V.MIN_SCORE) & ~F.col("has_negative"))
-    return text.drop("_terms", "search_keyword", "keyword_group").join(trail, "url")
+    return text.drop("_terms", "search_keyword", "keyword_group")
 
 
 def news_features(records: DataFrame) -> DataFrame:
@@ -46,8 +49,8 @@ def news_features(records: DataFrame) -> DataFrame:
     )
 
 
-def transformer_news(records: DataFrame, rates: DataFrame, count_tokens=T.token_count) -> DataFrame:
-    """One row per url with text for a transformer, token and chunk counts and alignment; rows without time have no target."""
+def transformer_news(records: DataFrame, rates: DataFrame, count_tokens=subword_count) -> DataFrame:
+    """One row per url with text for a transformer, subword and chunk counts and alignment; rows without time have no target."""
     r = records.withColumn("url", F.btrim("url", F.lit(T.WHITE)))
     one = r.join(keep_one(r.select("seq", "url"), ["url"], "seq").select("seq"), "seq", "left_semi")
     empty = F.length(F.coalesce(F.col("body"), F.lit(""))) == 0
@@ -69,5 +72,21 @@ def aligned_news(features: DataFrame, rates: DataFrame) -> DataFrame:
     return A.align(counted, rates).filter("target_date is not null")
 
 
-def daily_table(features: DataFrame, rates: DataFrame) -> DataFrame:
-    return A.aligned_daily(rates, A.daily_news(aligned_news(features, rates)))
+def daily_table(features: DataFrame, rates: DataFrame, with_text: bool = False) -> DataFrame:
+    """A row per trading day. ``with_text`` adds the day's texts in one value, for corpora whose days fit into a row."""
+    return A.aligned_daily(rates, A.daily_news(aligned_news(features, rates), with_text))
+
+
+def funnel_stages() -> list[tuple[str, Column]]:
+    """Stages that rows of :func:`funnel_flags` pass on their way to the features."""
+    return [(name, F.col(name)) for name in ("first of url", "first of title", "text article", "long enough", "relevant", "timed")]
+
+
+def funnel_flags(records: DataFrame) -> DataFrame:
+    """For each record a flag for each stage; stages past the first that fails are false."""
+    r = records.select("seq", F.btrim("url", F.lit(T.WHITE)).alias("url"), T.title_key(F.coalesce(F.col("title"), F.lit("nan"))).alias("_key"))
+    by_url = keep_one(r, ["url"], "seq")
+    by_title = keep_one(by_url, ["_key"], "seq").select("seq", F.lit(True).alias("first of title"))
+    told = news_stages(records).select("seq", F.lit(True).alias("text article"), F.col("long_enough").alias("long enough"), F.col("keep").alias("relevant"), A.iso_utc(F.col("published")).isNotNull().alias("timed"))
+    out = r.select("seq").join(by_url.select("seq", F.lit(True).alias("first of url")), "seq", "left").join(by_title, "seq", "left").join(told, "seq", "left")
+    return out.na.fill(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from marketweave.operators import rates as R
 from marketweave.operators import reports as P
 from marketweave.operators import selection as S
 from marketweave.plans import pipelines
-from marketweave.session import cut_lineage, shared_checkpoint_dir, spread
+from marketweave.session import cut_lineage, shared_folder, spread
 from marketweave.sources import files as IO
 
 ARTICLES = "batch_1789375807_210"
@@ -84,9 +84,12 @@ _NUMBER = r"""
  FROM (SELECT regexp_replace(kurs, '[^\d.,\-]', '', 'g') AS s))"""
 _MONTH = "CASE lower(regexp_extract(trim(tanggal), '[A-Za-z]+')) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.RATE_MONTHS.items()) + " END"
 _DATE = rf"""
-CAST(CASE WHEN regexp_matches(trim(tanggal), '^\d{{4}}-\d{{1,2}}-\d{{1,2}}') THEN try_strptime(trim(tanggal), '%Y-%m-%d')
-  WHEN regexp_matches(trim(tanggal), '^\d{{1,2}}[\s\-/]+[A-Za-z]+[\s\-/]+\d{{4}}$') THEN try_strptime(regexp_extract(trim(tanggal), '\d{{4}}$') || '-' || ({_MONTH}) || '-' || regexp_extract(trim(tanggal), '^\d{{1,2}}'), '%Y-%m-%d')
-  ELSE coalesce(try_strptime(trim(tanggal), '%d/%m/%Y'), try_strptime(trim(tanggal), '%m/%d/%Y')) END AS DATE)"""
+CAST(coalesce(try_strptime(trim(tanggal), ['%Y-%m-%d', '%Y/%m/%d', '%Y.%m.%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S']),
+  try_strptime(regexp_replace(trim(tanggal), '[\s\-/]+', ' ', 'g'), ['%d %B %Y', '%d %b %Y', '%B %d, %Y', '%b %d, %Y', '%B %d %Y', '%b %d %Y']),
+  CASE WHEN regexp_matches(trim(tanggal), '^\d{{1,2}}[\s\-/]+[A-Za-z]+[\s\-/]+\d{{4}}$')
+    THEN try_strptime(regexp_extract(trim(tanggal), '\d{{4}}$') || '-' || ({_MONTH}) || '-' || regexp_extract(trim(tanggal), '^\d{{1,2}}'), '%Y-%m-%d') END,
+  CASE WHEN regexp_matches(trim(tanggal), '\d{{4}}$') THEN try_strptime(regexp_replace(trim(tanggal), '[.\-]', '/', 'g'), ['%d/%m/%Y', '%m/%d/%Y'])
+    ELSE try_strptime(regexp_replace(trim(tanggal), '[.\-]', '/', 'g'), ['%d/%m/%y', '%m/%d/%y']) END) AS DATE)"""
 _RATES = f"""
 parsed AS (SELECT {_DATE} AS date, {_NUMBER} AS kurs, seq FROM rates_raw),
 valid AS (SELECT date, kurs FROM parsed WHERE date IS NOT NULL AND kurs > {V.MIN_RATE} QUALIFY row_number() OVER (PARTITION BY date ORDER BY seq DESC) = 1),
@@ -101,14 +104,52 @@ CASE WHEN regexp_matches(published, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\
   - to_minutes(CAST(CASE WHEN regexp_matches(published, ':\d{2}(\.\d+)?[+-]\d{2}:?\d{2}$') THEN
       (CAST(regexp_extract(published, '[+-](\d{2}):?\d{2}$', 1) AS INT) * 60 + CAST(regexp_extract(published, '[+-]\d{2}:?(\d{2})$', 1) AS INT))
       * CASE WHEN regexp_extract(published, '([+-])\d{2}:?\d{2}$', 1) = '-' THEN -1 ELSE 1 END ELSE 0 END AS INT)) END"""
+_BLANKS = "'" + T.WHITE + "'"
+
+
+def _compatible(x: str) -> str:
+    """NFKC in SQL, from Unicode's own table for the blocks that hold compatibility forms of letters, digits, signs and spaces."""
+    blocks = ((0xA0, 0x17F), (0x1C4, 0x1F3), (0x2000, 0x214F), (0x3000, 0x3000), (0xFB00, 0xFB06), (0xFF01, 0xFF5E), (0xFFE0, 0xFFE6))
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for lo, hi in blocks for c in range(lo, hi + 1)}
+    one = {k: v for k, v in forms.items() if k != v and len(v) == 1}
+    for k, v in forms.items():
+        if k != v and len(v) != 1:
+            x = f"replace({x}, {_q(k)}, {_q(v)})"
+    return f"nfc_normalize(translate({x}, {_q(''.join(one))}, {_q(''.join(one.values()))}))"
+
+
+def _clean_sql(x: str, patterns: tuple[str, ...], label: str | None = None, footer: str | None = None) -> str:
+    """The cleaning chain in SQL, for texts without entities."""
+    x = f"coalesce({x}, '')"
+    for p, flags in ((label, "i"), (footer, "is")):
+        x = f"regexp_replace({x}, {_q(p)}, '', '{flags}')" if p else x
+    x = rf"regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g')"
+    x = _compatible(rf"regexp_replace({x}, '[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{feff}}]', '', 'g')")
+    x = f"replace(translate({x}, {_q(''.join(V.CURLY))}, {_q(''.join(V.CURLY.values()))}), '…', '...')"
+    for p in patterns:
+        p = p.replace(V.SENTENCE_END, r"(?:U\.S\.|U\.K\.|U\.N\.|E\.U\.|[^.])*\.")
+        x = f"regexp_replace({x}, {_q('(?i)' + p)}, ' ', 'g')"
+    return rf"trim(regexp_replace({x}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{1680}}\x{{2028}}\x{{2029}}]+', ' ', 'g'))"
+
+
+_TERMS_CLEAN = lambda x: _clean_sql(x, V.BOILERPLATE_TERMS)
+_FILLED = lambda *x: f"array_to_string(list_filter([{', '.join(x)}], lambda x: x <> ''), '. ')"
+_MERGED = f"trim(coalesce(description, '') || ' ' || substr(coalesce(body, ''), 1, 2000), {_BLANKS})"
 _NEWS = f"""
-news0 AS (SELECT seq, trim(url) AS url, title, section, {_ISO_UTC} AS published_utc FROM {ARTICLES} WHERE NOT {_PAID} QUALIFY row_number() OVER (PARTITION BY trim(url) ORDER BY seq) = 1),
-news AS (SELECT *, published_utc + INTERVAL 7 HOUR AS wib, {_NORM("coalesce(title, '')")} AS text_norm, CAST({_SCORE("coalesce(title, '')")} AS BIGINT) AS relevance_score FROM news0 WHERE published_utc IS NOT NULL),
+records AS (SELECT seq, trim(url, {_BLANKS}) AS url, title, section, published, body, description AS own_description, {_MERGED} AS description, matched_terms AS listed FROM {ARTICLES} WHERE NOT {_PAID}),
+by_url AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1),
+by_title AS (SELECT * FROM by_url QUALIFY row_number() OVER (PARTITION BY {_KEY("coalesce(title, 'nan')")} ORDER BY seq) = 1),
+parts AS (SELECT *, {_TERMS_CLEAN("title")} AS c1, {_TERMS_CLEAN("description")} AS c2, {_TERMS_CLEAN("body")} AS c3, {_ISO_UTC} AS published_utc
+  FROM by_title WHERE NOT regexp_matches(lower(coalesce(section, '')), 'pro:|quote|make it|select|press release')),
+texts AS (SELECT *, {_FILLED("c1", "c2")} AS text_for_filter, {_FILLED("c1", "c2", "c3")} AS text_clean FROM parts),
+scored AS (SELECT *, CAST({_SCORE("text_for_filter")} AS BIGINT) AS relevance_score, {_TERMS("text_for_filter")} AS matched_terms, {_NEG("text_for_filter", True)} AS has_negative, {_TOKENS("text_clean")} >= {V.MIN_TOKENS} AS long_enough FROM texts),
+news AS (SELECT url, {_NORM("text_clean")} AS text_norm, section, published_utc, published_utc + INTERVAL 7 HOUR AS wib, relevance_score, matched_terms
+  FROM scored WHERE long_enough AND relevance_score >= {V.MIN_SCORE} AND NOT has_negative AND published_utc IS NOT NULL),
 cand AS (SELECT *, CAST(wib AS DATE) + CASE WHEN hour(wib) >= 8 THEN 1 ELSE 0 END AS candidate FROM news),
 cal AS (SELECT date AS target_date, lead(date) OVER (ORDER BY date) AS target_date_lag1 FROM rates),
 aligned AS (SELECT c.*, k.target_date, k.target_date_lag1, isodow(wib) >= 6 OR hour(wib) >= 8 AS is_offhours,
-  epoch_us(CAST(k.target_date AS TIMESTAMP) + INTERVAL 8 HOUR - wib) / 3600000000.0 AS hours_to_fixing, {_TOKENS("text_norm")} AS n_tokens
-  FROM cand c ASOF LEFT JOIN cal k ON c.candidate <= k.target_date)""".replace("epoch_us(CAST(k.target_date AS TIMESTAMP) + INTERVAL 8 HOUR - wib)", "(epoch_us(CAST(k.target_date AS TIMESTAMP) + INTERVAL 8 HOUR) - epoch_us(wib))")
+  (epoch_us(CAST(k.target_date AS TIMESTAMP) + INTERVAL 8 HOUR) - epoch_us(wib)) / 3600000000.0 AS hours_to_fixing, {_TOKENS("text_norm")} AS n_tokens
+  FROM cand c ASOF LEFT JOIN cal k ON c.candidate <= k.target_date)"""
 _DAILY = """
 daily AS (SELECT target_date AS date, count(url) AS n_news, avg(relevance_score) AS mean_relevance, max(relevance_score) AS max_relevance, avg(n_tokens) AS mean_tokens,
   avg(CASE WHEN is_offhours THEN 1.0 ELSE 0.0 END) AS pct_offhours, string_agg(CASE WHEN text_norm <> '' THEN text_norm END, ' ' ORDER BY published_utc, url) AS text_norm_concat
@@ -118,31 +159,21 @@ merged AS (SELECT r.*, coalesce(n_news, 0) AS n_news, mean_relevance, max_releva
 _WITH = f"WITH {_RATES}, {_NEWS}, {_DAILY}"
 
 
-def _title_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open articles once per url, scored by their titles, with a valid ISO time."""
-    open_ = _articles(spark, sf_dir).filter(~S.paid(F.col("section"))).withColumn("url", F.trim("url")).select("seq", "url", "title", "section", "published")
-    one = D.keep_one(open_, ["url"], "seq")
-    title = F.coalesce(F.col("title"), F.lit(""))
-    one = one.withColumn("published_utc", A.iso_utc(F.col("published"))).filter("published_utc is not null")
-    return one.withColumns({"text_norm": T.normal_terms(title), "relevance_score": T.lexicon_score(T.matched_terms(title))})
-
-
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.clean_rates(_t(spark, sf_dir, "rates_raw"))
 
 
-def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = _title_news(spark, sf_dir).withColumn("n_tokens", T.token_count(F.col("text_norm")))
-    return A.align(news, _rates(spark, sf_dir))
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.news_features(_records(spark, sf_dir))
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.aligned_daily(_rates(spark, sf_dir), A.daily_news(_aligned(spark, sf_dir)))
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant news with their target day, those after the last fixing without."""
+    return A.align(_features(spark, sf_dir).withColumn("n_tokens", T.token_count(F.col("text_norm"))), _rates(spark, sf_dir))
 
 
-def _whole_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily table over title, description and body of relevant news; ``_daily`` is the part of it that the SQL states."""
-    return pipelines.daily_table(pipelines.news_features(_records(spark, sf_dir)), _rates(spark, sf_dir))
+def _daily(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    return pipelines.daily_table(_features(spark, sf_dir), _rates(spark, sf_dir), with_text)
 
 
 # ---- sources and sinks -----------------------------------------------------------------------------------------------------
@@ -159,15 +190,10 @@ def src5_shards_tolerant(spark, sf_dir):
     return parsed.agg(F.count(F.lit(1)).alias("lines"), F.count("x._bad").alias("bad_lines"), F.sum("x.k").alias("sum_k"))
 
 
-def _folder(spark, name: str) -> str:
-    """A fresh folder among the shared ones."""
-    return f"{shared_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT trim(tanggal) AS tanggal, nullif(kurs, '') AS kurs FROM rates_raw")
 def src2_src3_snk1_rate_file(spark, sf_dir):
     """The rates written as a file with semicolons and unlike names, then read by sniffing both."""
-    path = _folder(spark, "rates")
+    path = shared_folder(spark, "rates")
     raw = _t(spark, sf_dir, "rates_raw").select(F.col("nomor").alias("NO"), F.col("tanggal").alias(" Tanggal Terbit"), F.col("kurs").alias("Nilai"))
     raw.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
     return IO.read_rates(spark, path).select(F.trim("tanggal").alias("tanggal"), "kurs")
@@ -176,7 +202,7 @@ def src2_src3_snk1_rate_file(spark, sf_dir):
 @query(f"SELECT url, title, published, md5(body) AS digest, title_score FROM {ARTICLES}")
 def src4_snk3_shards(spark, sf_dir):
     """The articles written as JSON shards and read again, strictly."""
-    path = _folder(spark, "shards")
+    path = shared_folder(spark, "shards")
     IO.append_shard(_articles(spark, sf_dir).select("url", "title", "published", "body", "title_score"), path)
     return IO.read_shards(spark, path, strict=True).select("url", "title", "published", F.md5("body").alias("digest"), "title_score")
 
@@ -184,7 +210,7 @@ def src4_snk3_shards(spark, sf_dir):
 @query(f"SELECT site AS folder, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (title IS NULL) AS BIGINT) AS bad_lines FROM {ARTICLES} GROUP BY 1")
 def src6_shard_audit(spark, sf_dir):
     """Shards in which the line of an article without title is cut short, audited by site."""
-    path = _folder(spark, "audit")
+    path = shared_folder(spark, "audit")
     line = F.to_json(F.struct("seq", "url", "title"))
     _articles(spark, sf_dir).select("site", F.when(F.col("title").isNull(), F.substring(line, 1, 12)).otherwise(line).alias("value")).write.partitionBy("site").text(path)
     return IO.shard_audit(spark, path, by=F.regexp_extract(F.col("_metadata.file_path"), "site=([^/]+)/", 1)).withColumnRenamed("file", "folder")
@@ -407,15 +433,15 @@ def agg11_directions(spark, sf_dir):
 
 # ---- alignment -------------------------------------------------------------------------------------------------------------
 
-@query(f"{_WITH} SELECT seq, CAST(target_date AS VARCHAR) AS target_date, CAST(target_date_lag1 AS VARCHAR) AS target_date_lag1, is_offhours, round(hours_to_fixing, 6) AS hours_to_fixing FROM aligned")
+@query(f"{_WITH} SELECT url, CAST(target_date AS VARCHAR) AS target_date, CAST(target_date_lag1 AS VARCHAR) AS target_date_lag1, is_offhours, round(hours_to_fixing, 6) AS hours_to_fixing FROM aligned")
 def tmp1_to_tmp6_jn3_jn4_aligned(spark, sf_dir):
-    return _aligned(spark, sf_dir).select("seq", *_iso("target_date", "target_date_lag1"), "is_offhours", F.round("hours_to_fixing", 6).alias("hours_to_fixing"))
+    return _aligned(spark, sf_dir).select("url", *_iso("target_date", "target_date_lag1"), "is_offhours", F.round("hours_to_fixing", 6).alias("hours_to_fixing"))
 
 
-@query(f"{_WITH} SELECT seq, strftime(wib, '%Y-%m-%d %I:%M:%S %p WIB') AS date, dayname(wib) AS dow, year(wib) AS year FROM news")
+@query(f"{_WITH} SELECT url, strftime(wib, '%Y-%m-%d %I:%M:%S %p WIB') AS date, dayname(wib) AS dow, year(wib) AS year FROM news")
 def tmp7_tmp9_local_text(spark, sf_dir):
-    wib = A.market_time(F.col("published_utc"))
-    return _title_news(spark, sf_dir).select("seq", F.date_format(wib, "yyyy-MM-dd hh:mm:ss a 'WIB'").alias("date"), F.date_format(wib, "EEEE").alias("dow"), F.year(wib).alias("year"))
+    wib = F.col("published_wib")
+    return _features(spark, sf_dir).select("url", F.date_format(wib, "yyyy-MM-dd hh:mm:ss a 'WIB'").alias("date"), F.date_format(wib, "EEEE").alias("dow"), F.year(wib).alias("year"))
 
 
 @query(f"WITH {_RATES} SELECT CAST(date AS VARCHAR) AS target_date, CAST(lead(date) OVER (ORDER BY date) AS VARCHAR) AS target_date_lag1 FROM rates")
@@ -427,7 +453,7 @@ def tmp8_win4_calendar(spark, sf_dir):
 md5(text_norm_concat) AS digest, window_hours, round(n_news / window_hours, 6) AS news_density, direction FROM merged""")
 def agg3_to_agg7_jn2_tmp10_daily(spark, sf_dir):
     r = lambda c: F.round(c, 6).alias(c)
-    return _daily(spark, sf_dir).select(
+    return _daily(spark, sf_dir, with_text=True).select(
         *_iso("date"), "n_news", r("mean_relevance"), "max_relevance", r("mean_tokens"), r("pct_offhours"), F.md5("text_norm_concat").alias("digest"), "window_hours", r("news_density"), "direction"
     )
 
@@ -476,24 +502,12 @@ def top1_top_rows(spark, sf_dir):
     return S.top_rows(_articles(spark, sf_dir).select("seq", "url", "title_score"), "title_score", "seq", 20)
 
 
-_DECODE = r"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g')"
-_PLAIN = "replace(translate(" + _DECODE + ", '" + "".join(V.CURLY).replace("'", "''") + "', '" + "".join(V.CURLY.values()).replace("'", "''") + "'), '…', '...')"
-
-
-def _cleaned(patterns: tuple[str, ...]) -> str:
-    x = _PLAIN
-    for p in patterns:
-        p = p.replace(V.SENTENCE_END, r"(?:U\.S\.|U\.K\.|U\.N\.|E\.U\.|[^.])*\.")
-        x = f"regexp_replace({x}, {_q('(?i)' + p)}, ' ', 'g')"
-    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, md5({_cleaned(V.BOILERPLATE_TERMS)}) AS digest FROM documents")
+@query(f"SELECT doc_id, md5({_clean_sql("text", V.BOILERPLATE_TERMS)}) AS digest FROM documents")
 def fn_cln1_clean_terms(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_terms(F.col("text"))).alias("digest"))
 
 
-@query(f"SELECT doc_id, md5({_cleaned(V.BOILERPLATE_TRANSFORMER)}) AS digest FROM documents")
+@query(f"SELECT doc_id, md5({_clean_sql("text", V.BOILERPLATE_TRANSFORMER)}) AS digest FROM documents")
 def fn_cln2_cln3_clean_transformer(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_transformer(F.col("text"))).alias("digest"))
 
@@ -651,7 +665,7 @@ def ml6_confusion(spark, sf_dir):
 @query()
 def ml2_ml4_ml7_top_terms(spark, sf_dir):
     """Terms that speak most for each direction of the rate, from a model of the days' relevant news over whole texts."""
-    daily = cut_lineage(_whole_daily(spark, sf_dir).filter("n_news > 0").select("date", "text_norm_concat", "direction"))
+    daily = cut_lineage(_daily(spark, sf_dir, with_text=True).filter("n_news > 0").select("date", "text_norm_concat", "direction"))
     # the split's window takes all days in one task, so the texts stay out of it
     days = S.chronological_split(daily.select("date"), "date").filter("part = 'train'").select("date")
     train = daily.join(F.broadcast(days), "date", "left_semi").persist()
@@ -665,36 +679,62 @@ def ml2_ml4_ml7_top_terms(spark, sf_dir):
 
 # ---- whole pipelines -------------------------------------------------------------------------------------------------------
 
-@query()
+_STAMPS = "CAST(published_utc AS VARCHAR) AS published_utc, CAST(wib AS VARCHAR) AS published_wib"
+_TARGETS = "CAST(target_date AS VARCHAR) AS target_date, CAST(target_date_lag1 AS VARCHAR) AS target_date_lag1, is_offhours, round(hours_to_fixing, 6) AS hours_to_fixing"
+
+
+@query(f"{_WITH} SELECT url, md5(text_norm) AS digest, section, {_STAMPS}, relevance_score, matched_terms FROM news")
 def plan_news_features(spark, sf_dir):
-    return pipelines.news_features(_records(spark, sf_dir))
+    return _features(spark, sf_dir).select("url", F.md5("text_norm").alias("digest"), "section", *_iso("published_utc", "published_wib"), "relevance_score", "matched_terms")
 
 
 @query()
 def plan_transformer_news(spark, sf_dir):
-    return pipelines.transformer_news(_records(spark, sf_dir), _rates(spark, sf_dir), count_tokens=subword_count)
+    return pipelines.transformer_news(_records(spark, sf_dir), _rates(spark, sf_dir))
 
 
-@query()
-def plan_daily_table(spark, sf_dir):
-    return _whole_daily(spark, sf_dir)
+@query(f"""{_WITH}, said AS (SELECT *, {_clean_sql("title", V.BOILERPLATE_TRANSFORMER, V.LEADING_LABEL, V.TRAILING_FOOTER)} AS c1, length(coalesce(body, '')) = 0 AS used_description_fallback,
+  {_clean_sql("CASE WHEN length(coalesce(body, '')) = 0 THEN description ELSE body END", V.BOILERPLATE_TRANSFORMER, V.LEADING_LABEL, V.TRAILING_FOOTER)} AS c2, {_ISO_UTC} + INTERVAL 7 HOUR AS wib FROM by_url),
+whole AS (SELECT *, trim(trim(rtrim(c1, '. ') || '. ' || c2, '. ')) AS text_clean, CAST(wib AS DATE) + CASE WHEN hour(wib) >= 8 THEN 1 ELSE 0 END AS candidate FROM said)
+SELECT url, strftime(wib, '%Y-%m-%d %I:%M:%S %p WIB') AS date, title, md5(text_clean) AS digest, {_TOKENS("text_clean")} AS n_tokens, {_TOKENS("text_clean")} > 512 AS needs_chunking,
+  CAST(CASE WHEN {_TOKENS("text_clean")} <= 512 THEN 1 ELSE 1 + ceil(({_TOKENS("text_clean")} - 512) / 462.0) END AS BIGINT) AS n_chunks_est, used_description_fallback, section, CAST(k.target_date AS VARCHAR) AS target_date,
+  CAST(k.target_date_lag1 AS VARCHAR) AS target_date_lag1, coalesce(isodow(wib) >= 6 OR hour(wib) >= 8, false) AS is_offhours,
+  round((epoch_us(CAST(k.target_date AS TIMESTAMP) + INTERVAL 8 HOUR) - epoch_us(wib)) / 3600000000.0, 6) AS hours_to_fixing
+FROM whole w ASOF LEFT JOIN cal k ON w.candidate <= k.target_date WHERE text_clean <> ''""")
+def plan_transformer_words(spark, sf_dir):
+    """The transformer's table with words for tokens, which SQL can count."""
+    out = pipelines.transformer_news(_records(spark, sf_dir), _rates(spark, sf_dir), count_tokens=T.token_count)
+    return out.withColumns({"digest": F.md5("text_clean"), "hours_to_fixing": F.round("hours_to_fixing", 6), **{c: F.col(c).cast("string") for c in ("target_date", "target_date_lag1")}}).drop("text_clean")
 
 
-@query()
-def plan_aligned_news(spark, sf_dir):
-    return pipelines.aligned_news(pipelines.news_features(_records(spark, sf_dir)), _rates(spark, sf_dir))
+@query(f"""{_WITH} SELECT CAST(date AS VARCHAR) AS date, kurs, direction, n_news, round(mean_relevance, 6) AS mean_relevance, max_relevance, round(mean_tokens, 6) AS mean_tokens,
+round(pct_offhours, 6) AS pct_offhours, window_hours FROM merged""")
+def plan_daily_table(spark, sf_dir):
+    """The daily table without the days' texts, which :func:`plan_daily_texts` has row by row."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return _daily(spark, sf_dir).select(*_iso("date"), "kurs", "direction", "n_news", r("mean_relevance"), "max_relevance", r("mean_tokens"), r("pct_offhours"), "window_hours")
 
 
-@query()
-def plan_weekdays(spark, sf_dir):
-    return P.weekday_density(_whole_daily(spark, sf_dir))
+@query(f"{_WITH} SELECT CAST(target_date AS VARCHAR) AS date, CAST(published_utc AS VARCHAR) AS published_utc, url, md5(text_norm) AS digest FROM aligned WHERE target_date IS NOT NULL AND text_norm <> ''")
+def plan_daily_texts(spark, sf_dir):
+    return A.daily_texts(pipelines.aligned_news(_features(spark, sf_dir), _rates(spark, sf_dir))).select(*_iso("date", "published_utc"), "url", F.md5("text_norm").alias("digest"))
 
 
-@query()
-def plan_coverage(spark, sf_dir):
-    return P.coverage(_whole_daily(spark, sf_dir))
+@query(f"{_WITH} SELECT url, md5(text_norm) AS digest, section, {_STAMPS}, relevance_score, matched_terms, n_tokens, {_TARGETS} FROM aligned WHERE target_date IS NOT NULL")
+def plan_aligned_news(spark, sf_dir):
+    out = pipelines.aligned_news(_features(spark, sf_dir), _rates(spark, sf_dir))
+    return out.select(
+        "url", F.md5("text_norm").alias("digest"), "section", *_iso("published_utc", "published_wib"), "relevance_score", "matched_terms", "n_tokens",
+        *_iso("target_date", "target_date_lag1"), "is_offhours", F.round("hours_to_fixing", 6).alias("hours_to_fixing"),
+    )
 
 
-@query()
-def plan_split(spark, sf_dir):
-    return S.chronological_split(_whole_daily(spark, sf_dir).filter("n_news > 0").select(*_iso("date")), "date")
+@query(f"""{_WITH}, f AS (SELECT t.seq IS NOT NULL AS u, y.seq IS NOT NULL AS y, s.seq IS NOT NULL AS a, coalesce(long_enough, false) AS l, coalesce(relevance_score >= {V.MIN_SCORE} AND NOT has_negative, false) AS k,
+  published_utc IS NOT NULL AS p FROM records r LEFT JOIN (SELECT seq FROM by_url) t USING (seq) LEFT JOIN (SELECT seq FROM by_title) y USING (seq) LEFT JOIN scored s USING (seq)),
+g AS (SELECT 0 AS step, 'input' AS stage, count(*) AS rows FROM f UNION ALL SELECT 1, 'first of url', count(*) FILTER (u) FROM f UNION ALL SELECT 2, 'first of title', count(*) FILTER (u AND y) FROM f
+UNION ALL SELECT 3, 'text article', count(*) FILTER (u AND y AND a) FROM f UNION ALL SELECT 4, 'long enough', count(*) FILTER (u AND y AND a AND l) FROM f
+UNION ALL SELECT 5, 'relevant', count(*) FILTER (u AND y AND a AND l AND k) FROM f UNION ALL SELECT 6, 'timed', count(*) FILTER (u AND y AND a AND l AND k AND p) FROM f)
+SELECT step, stage, rows, round(rows / nullif(lag(rows) OVER (ORDER BY step), 0) * 100 - 100, 1) AS pct FROM g""")
+def plan_funnel(spark, sf_dir):
+    """Records left after each stage on the way to the features."""
+    return P.funnel(pipelines.funnel_flags(_records(spark, sf_dir)), pipelines.funnel_stages())
