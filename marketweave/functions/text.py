@@ -153,3 +153,13 @@ def has_negative(text: Column, phrases: tuple[str, ...] = V.NEGATIVE, whole_word
         return reduce(lambda a, b: a | b, each)
 
     return F.element_at(F.transform(F.array(F.lower(text)), any_phrase), 1)
+
+
+def keyword_groups(text: Column, groups: dict[str, tuple[str, ...]] = V.KEYWORD_GROUPS) -> Column:
+    """Names of the groups of which a keyword occurs as whole words, letter case aside; none for a null text."""
+
+    def named(low: Column) -> Column:
+        hit = lambda words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w.lower())) & low.rlike(word_pattern(w.lower())) for w in words))
+        return F.array_compact(F.array(*(F.when(hit(words), F.lit(name)) for name, words in groups.items())))
+
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(F.lower(text)), named), 1)).otherwise(F.array().cast("array<string>"))

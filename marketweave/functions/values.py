@@ -12,6 +12,25 @@ LEXICON = {
     "israel": 1, "gaza": 1, "iran": 1, "taiwan": 1, "north korea": 1, "kremlin": 1, "oil": 1, "crude": 1, "pipeline": 1,
     "blockade": 1, "treaty": 1, "summit": 1, "border": 1, "defense": 1, "security council": 1,
 }
+# Keywords by group.
+KEYWORD_GROUPS = {
+    "conflict": (
+        "war", "invasion", "military strike", "airstrike", "ceasefire", "troops deployed", "armed conflict", "missile attack", "border clash",
+        "Russia Ukraine", "Israel Gaza", "Middle East conflict", "Taiwan tensions", "South China Sea", "North Korea missile",
+    ),
+    "policy": (
+        "sanctions", "tariffs", "trade war", "export controls", "embargo", "trade restrictions", "geopolitical risk", "diplomatic crisis",
+        "US China tensions", "chip export ban", "asset freeze", "NATO", "summit talks", "peace deal",
+    ),
+    "energy_supply": (
+        "OPEC", "oil supply", "oil prices surge", "energy crisis", "gas pipeline", "crude output cut", "shipping disruption", "Red Sea shipping",
+        "Strait of Hormuz", "supply chain disruption",
+    ),
+    "macro_control": (
+        "Federal Reserve", "interest rate decision", "US inflation", "dollar index", "Treasury yields", "rupiah exchange rate", "Bank Indonesia",
+        "emerging market currency",
+    ),
+}
 # Phrases that reject a text.
 NEGATIVE = (
     "best credit card", "recipe", "celebrity", "box office", "nfl", "nba", "super bowl", "how to save money", "gift guide",

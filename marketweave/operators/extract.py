@@ -14,7 +14,7 @@ STRICT_PATH = r"/(\d{4})/(\d{2})/(\d{2})/[a-z0-9\-]+\.html"
 # Kinds of linked data that describe an article, and where its text stands, most specific first.
 ARTICLE_KINDS = ("NewsArticle", "Article", "ReportageNewsArticle")
 BODY_PLACES = (("div", "class", "ArticleBody-articleBody"), ("div", "data-module", "ArticleBody"), ("div", "class", "group"), ("article", None, None))
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _FIELDS = ("title", "published", "modified", "description", "body", "author", "section")
 
 
@@ -46,7 +46,8 @@ class _Page(HTMLParser):
             self.linked.append([])
             sinks.append(("script", self.linked[-1]))
         for place, (name, key, value) in enumerate(BODY_PLACES):
-            if tag == name and (key is None or value in (a.get(key) or "").split()):
+            held = (a.get(key) or "") if key else ""
+            if tag == name and (key is None or (value in held.split() if key == "class" else value == held)):
                 self.places[place].append([])
                 sinks.append(("place", self.places[place][-1]))
         if tag == "p":

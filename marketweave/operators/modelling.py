@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketweave.session import cut_lineage
+
 
 def grams(df: DataFrame, text: str) -> DataFrame:
     """``grams``: words of two and more letters or digits, and pairs of neighbours."""
@@ -24,19 +24,20 @@ class TermWeights:
     def __init__(self, size: int = 5000, min_docs: int = 5, max_share: float = 0.8):
         self.size, self.min_docs, self.max_share = size, min_docs, max_share
 
-    def fit(self, train: DataFrame, text: str) -> TermWeights:
-        self.text = text
+    def table(self, train: DataFrame, text: str) -> DataFrame:
+        """``term``, ``tf``, ``df`` and ``idf`` of the vocabulary, the most frequent first."""
         # the documents are numbered before their terms are taken apart; beside the generator each term would get its own number
-        g = grams(train, text).select("grams", F.monotonically_increasing_id().alias("d")).persist()
+        g = cut_lineage(grams(train, text).select("grams", F.monotonically_increasing_id().alias("d")))
         n = g.count()
-        each = g.select(F.explode("grams").alias("term"), "d")
-        counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.count_distinct("d").alias("df"))
-        g_ok = counts.filter((F.col("df") >= self.min_docs) & (F.col("df") <= self.max_share * n))
-        rows = g_ok.orderBy(F.desc("tf"), "term").limit(self.size).collect()  # at most ``size`` rows
-        g.unpersist()
-        rows = sorted(rows, key=lambda r: r.term)
-        self.vocabulary = [r.term for r in rows]
-        self.idf = [math.log((n + 1) / (r.df + 1)) + 1 for r in rows]
+        each = g.select(F.explode("grams").alias("term"), "d").groupBy("term", "d").agg(F.count(F.lit(1)).alias("n"))
+        counts = each.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+        ok = counts.filter((F.col("df") >= self.min_docs) & (F.col("df") <= self.max_share * n))
+        return ok.orderBy(F.desc("tf"), "term").limit(self.size).withColumn("idf", F.ln(F.lit(n + 1) / (F.col("df") + 1)) + 1)
+
+    def fit(self, train: DataFrame, text: str) -> TermWeights:
+        self.text = text
+        rows = sorted(self.table(train, text).select("term", "idf").collect(), key=lambda r: r.term)  # at most ``size`` rows
+        self.vocabulary, self.idf = [r.term for r in rows], [r.idf for r in rows]
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = Window.partitionBy(F.lit(0))
     w = n.select(label, (F.sum("_n").over(total) / (F.count(F.lit(1)).over(total) * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)
 
 
 def fit_classifier(train: DataFrame, label_index: str, max_iter: int = 1000, c: float = 1.0) -> LogisticRegressionModel:

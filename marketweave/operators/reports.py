@@ -56,10 +56,14 @@ def rate_summary(rates: DataFrame) -> DataFrame:
     )
 
 
-def collection_summary(df: DataFrame, day: str, present: list[str], least_rows: int = 10_000) -> DataFrame:
-    """Rows, filled values of some columns, days, rows per day, and whether there are too few rows."""
+def collection_summary(df: DataFrame, day: str, present: list[str], least_rows: int = 10_000, period: tuple[str, str] | None = None, least_days: float = 0.7) -> DataFrame:
+    """Rows, filled values of some columns, days, rows per day, and whether there are too few rows, or days of the ``period``."""
     out = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(f"n_{c}") for c in present), F.count_distinct(day).alias("days"))
-    return out.withColumn("per_day", F.col("n") / F.greatest(F.col("days"), F.lit(1))).withColumn("too_few", F.col("n") < least_rows)
+    out = out.withColumn("per_day", F.col("n") / F.greatest(F.col("days"), F.lit(1))).withColumn("too_few", F.col("n") < least_rows)
+    if period:
+        whole = F.datediff(F.lit(period[1]).cast("date"), F.lit(period[0]).cast("date")) + 1
+        out = out.withColumn("too_few_days", F.col("days") < whole * F.lit(least_days))
+    return out
 
 
 def described(df: DataFrame, group: Column, value: Column, over: int) -> DataFrame:

@@ -69,6 +69,11 @@ def top_rows(df: DataFrame, by: str, tie: str, n: int) -> DataFrame:
     return df.orderBy(F.col(by).desc_nulls_last(), F.col(tie)).limit(n)
 
 
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, for a look at a table."""
+    return df.orderBy(order).limit(n)
+
+
 def chronological_split(df: DataFrame, order: str, test_share: float = 0.2) -> DataFrame:
     """``part``: train for the first rows by ``order``, test for the rest; meant for a row per day."""
     w = Window.partitionBy(F.lit(0))

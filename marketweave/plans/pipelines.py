@@ -72,11 +72,18 @@ def aligned_news(features: DataFrame, rates: DataFrame) -> DataFrame:
     return A.align(counted, rates).filter("target_date is not null")
 
 
-def daily_table(features: DataFrame, rates: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row per trading day. ``with_text`` adds the day's texts in one value, for corpora whose days fit into a row."""
+def daily_table(features: DataFrame, rates: DataFrame, with_text: bool = True) -> DataFrame:
+    """A row per trading day, with the day's texts in one value; a corpus whose days outgrow a row leaves them out (``with_text=False``)
+    and has them row by row from :func:`alignment.daily_texts`."""
     return A.aligned_daily(rates, A.daily_news(aligned_news(features, rates), with_text))
 
 
+def land_aligned(features: DataFrame, rates: DataFrame, path: str) -> DataFrame:
+    """The aligned news as a new table by month; an existing path is an error, so no table is written over what it is read from."""
+    aligned_news(features, rates).withColumn("month", F.date_format("target_date", "yyyy-MM")).write.mode("errorifexists").partitionBy("month").parquet(path)
+    return features.sparkSession.read.parquet(path)
+
+
 def funnel_stages() -> list[tuple[str, Column]]:
     """Stages that rows of :func:`funnel_flags` pass on their way to the features."""
     return [(name, F.col(name)) for name in ("first of url", "first of title", "text article", "long enough", "relevant", "timed")]

@@ -68,7 +68,8 @@ def _re2(term: str) -> str:
 _SCORE = lambda x: " + ".join(f"CASE WHEN regexp_matches({x}, {_q('(?i)' + chr(92) + 'b' + _re2(t) + chr(92) + 'b')}) THEN {w} ELSE 0 END" for t, w in V.LEXICON.items())
 _TERMS = lambda x: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({x}, {_q('(?i)' + chr(92) + 'b' + _re2(t) + chr(92) + 'b')}) THEN {_q(t)} END" for t in V.LEXICON) + "], lambda x: x IS NOT NULL), '|')"
 _NEG = lambda x, words: f"regexp_matches({x}, {_q(('(?i)' + chr(92) + 'b(?:' if words else '(?i)(?:') + '|'.join(V.NEGATIVE) + (')' + chr(92) + 'b' if words else ')'))})"
-_TOKENS = lambda x: rf"CAST(len(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')) AS BIGINT)"
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TOKENS = lambda x: f"CAST(len(list_filter(regexp_split_to_array({x}, '{_SPACE}+'), lambda w: w <> '')) AS BIGINT)"
 _KEY = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9 ]', '', 'g'))"
 _NORM = lambda x: (
     f"array_to_string(list_filter(list_transform(regexp_extract_all(lower({x}), '[a-z0-9%$][a-z0-9%$.]*'), lambda w: trim(w, '.')), "
@@ -183,11 +184,15 @@ def src1_scan(spark, sf_dir):
     return _articles(spark, sf_dir).groupBy("site", F.substring("index_date", 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (event_id % 50 = 0) AS BIGINT) AS bad_lines,
+CAST(sum(CASE WHEN event_id % 50 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END) AS BIGINT) AS sum_k FROM events""")
 def src5_shards_tolerant(spark, sf_dir):
-    """JSON text of events, read back tolerantly from their column: bad lines are counted, not dropped."""
-    parsed = _t(spark, sf_dir, "events").select(F.from_json("props", "k bigint, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
-    return parsed.agg(F.count(F.lit(1)).alias("lines"), F.count("x._bad").alias("bad_lines"), F.sum("x.k").alias("sum_k"))
+    """Shards in which every fiftieth event's line is cut short and blank lines stand between, read tolerantly: bad lines are counted."""
+    path = shared_folder(spark, "events")
+    line = F.when(F.col("event_id") % 50 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    _t(spark, sf_dir, "events").select(F.concat(line, F.when(F.col("event_id") % 7 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    read = IO.read_shards(spark, path, "k bigint")
+    return read.agg(F.count(F.lit(1)).alias("lines"), F.count("_bad").alias("bad_lines"), F.sum(F.when(F.col("_bad").isNull(), F.col("k"))).alias("sum_k"))
 
 
 @query("SELECT trim(tanggal) AS tanggal, nullif(kurs, '') AS kurs FROM rates_raw")
@@ -195,7 +200,7 @@ def src2_src3_snk1_rate_file(spark, sf_dir):
     """The rates written as a file with semicolons and unlike names, then read by sniffing both."""
     path = shared_folder(spark, "rates")
     raw = _t(spark, sf_dir, "rates_raw").select(F.col("nomor").alias("NO"), F.col("tanggal").alias(" Tanggal Terbit"), F.col("kurs").alias("Nilai"))
-    raw.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    IO.write_csv(raw.coalesce(1), path, sep=";")
     return IO.read_rates(spark, path).select(F.trim("tanggal").alias("tanggal"), "kurs")
 
 
@@ -216,6 +221,33 @@ def src6_shard_audit(spark, sf_dir):
     return IO.shard_audit(spark, path, by=F.regexp_extract(F.col("_metadata.file_path"), "site=([^/]+)/", 1)).withColumnRenamed("file", "folder")
 
 
+@query(f"""SELECT site AS folder, substr('{{"seq":' || seq || ',"url":"' || url, 1, 12) AS value FROM {ARTICLES} WHERE title IS NULL""")
+def src6_bad_lines(spark, sf_dir):
+    """The text of the bad lines of the same shards."""
+    path = shared_folder(spark, "audit")
+    line = F.to_json(F.struct("seq", "url", "title"))
+    _articles(spark, sf_dir).select("site", F.when(F.col("title").isNull(), F.substring(line, 1, 12)).otherwise(line).alias("value")).write.partitionBy("site").text(path)
+    return IO.bad_lines(spark, path, by=F.regexp_extract(F.col("_metadata.file_path"), "site=([^/]+)/", 1)).withColumnRenamed("file", "folder")
+
+
+@query(f"""SELECT DISTINCT strftime(d, '%Y-%m') AS month FROM generate_series(DATE '{V.FIRST_DAY}', DATE '{V.LAST_DAY}', INTERVAL 1 DAY) t(d)
+WHERE strftime(d, '%Y-%m') NOT IN (SELECT substr(index_date, 1, 7) FROM {ARTICLES} WHERE site = (SELECT min(site) FROM {ARTICLES}))""")
+def src7_months_to_fetch(spark, sf_dir):
+    """Months of the period of which nothing has landed yet from the first site."""
+    a = _articles(spark, sf_dir).select("site", F.substring("index_date", 1, 7).alias("month"))
+    landed = a.join(F.broadcast(a.agg(F.min("site").alias("site"))), "site", "left_semi")
+    return IO.months_to_fetch(IO.days_between(spark, V.FIRST_DAY, V.LAST_DAY), landed)
+
+
+@query(f"""SELECT CASE WHEN title_score >= 2 THEN 'kept' ELSE 'rest' END AS part, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM {ARTICLES} GROUP BY 1""")
+def snk5_split(spark, sf_dir):
+    """Articles split into two tables in one pass, counted from both."""
+    kept, rest = shared_folder(spark, "kept"), shared_folder(spark, "rest")
+    IO.split_write(_articles(spark, sf_dir).select("seq", "title_score"), F.col("title_score") >= 2, kept, rest)
+    sums = lambda path, name: spark.read.parquet(path).groupBy(F.lit(name).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+    return sums(kept, "kept").unionAll(sums(rest, "rest"))
+
+
 @query(f"SELECT listing_id, url FROM (SELECT DISTINCT listing_id, url FROM archive_index) i WHERE NOT EXISTS (SELECT 1 FROM {ARTICLES} a WHERE a.url = i.url)")
 def src7_to_fetch(spark, sf_dir):
     """Listings whose article has not been fetched yet."""
@@ -295,9 +327,10 @@ def flt9_flt10_sane_in_range(spark, sf_dir):
     return o.filter((F.col("o_totalprice") > V.MIN_RATE) & F.col("o_orderdate").cast("date").between(F.lit("1996-09-01").cast("date"), F.lit("1999-09-01").cast("date"))).select("o_orderkey")
 
 
-@query(f"SELECT seq FROM {ARTICLES} WHERE regexp_matches(lower(coalesce(title, '')), '{V.LIVE_BLOG}') OR regexp_matches(lower(url), '{V.LIVE_BLOG}')")
+@query(f"SELECT seq FROM {ARTICLES} WHERE regexp_matches(lower(coalesce(title, '')), 'watch|{V.LIVE_BLOG}') OR regexp_matches(lower(url), 'watch|{V.LIVE_BLOG}')")
 def flt13_live_blogs(spark, sf_dir):
-    return _articles(spark, sf_dir).filter(S.live_blog(F.col("title"), F.col("url"))).select("seq")
+    """Live blogs; this outlet's tables call them watches."""
+    return _articles(spark, sf_dir).filter(S.live_blog(F.col("title"), F.col("url"), "watch|" + V.LIVE_BLOG)).select("seq")
 
 
 @query(f"SELECT seq FROM {ARTICLES} WHERE regexp_matches(lower(coalesce(title, '')), 'embargo|{V.TOPIC}')")
@@ -366,7 +399,10 @@ def fn_tok2_ml8_subwords(spark, sf_dir):
     return docs.withColumn("needs_chunking", F.col("n_tokens") > V.CHUNK_TOKENS).withColumn("n_chunks_est", T.chunks_needed(F.col("n_tokens")))
 
 
-@query()
+_DECODED = _compatible(r"regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '<[^>]+>', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{feff}]', '', 'g')")
+
+
+@query(f"SELECT seq, md5({_DECODED}) AS digest FROM {ARTICLES}")
 def fn_une_fn_nfkc_decoded(spark, sf_dir):
     """Bodies after entity decoding and NFKC, by digest."""
     return _articles(spark, sf_dir).select("seq", F.md5(T.decode(F.col("body"))).alias("digest"))
@@ -533,6 +569,19 @@ def fn_slc_link_dates(spark, sf_dir):
     return _articles(spark, sf_dir).select("seq", X.link_date(F.col("url")).cast("string").alias("link_date"))
 
 
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(text, {_q('(?i)' + chr(92) + 'b(?:' + '|'.join(words) + ')' + chr(92) + 'b')}) THEN {_q(name)} END" for name, words in V.KEYWORD_GROUPS.items()
+) + "], lambda x: x IS NOT NULL), '|') AS groups FROM documents")
+def lex6_keyword_groups(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(T.keyword_groups(F.col("text")), "|").alias("groups"))
+
+
+@query(f"SELECT seq, url FROM {ARTICLES} WHERE section IS NULL ORDER BY seq LIMIT 10")
+def top2_head(spark, sf_dir):
+    """The first ten articles without section, for a report."""
+    return S.first_rows(_articles(spark, sf_dir).filter("section is null").select("seq", "url"), "seq", 10)
+
+
 # ---- reports ---------------------------------------------------------------------------------------------------------------
 
 _LIVE = f"regexp_matches(lower(coalesce(title, '')), 'watch|{V.LIVE_BLOG}')"
@@ -542,8 +591,7 @@ _LIVE = f"regexp_matches(lower(coalesce(title, '')), 'watch|{V.LIVE_BLOG}')"
 def agg14_described(spark, sf_dir):
     a = _articles(spark, sf_dir)
     grp = F.lower(F.coalesce(F.col("title"), F.lit(""))).rlike("watch|" + V.LIVE_BLOG)
-    ascii_tokens = F.size(F.filter(F.split("body", r"\s+"), lambda w: w != "")).cast("bigint") + F.when(F.col("body").isNotNull(), 0)
-    return P.described(a, grp, ascii_tokens, 512).withColumn("mean", F.round("mean", 6))
+    return P.described(a, grp, T.token_count(F.col("body")), 512).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"SELECT CAST(substr(index_date, 1, 4) AS INT) AS year, count(*) AS total, count(*) FILTER (regexp_matches(lower(coalesce(title, '')), 'embargo')) AS topic, count(*) FILTER ({_LIVE}) AS live FROM {ARTICLES} GROUP BY 1")
@@ -560,9 +608,10 @@ def agg16_funnel(spark, sf_dir):
     return P.funnel(_articles(spark, sf_dir), stages)
 
 
-@query(f"SELECT count(*) AS n, count(body) AS n_body, count(published) AS n_published, count(DISTINCT index_date) AS days, round(count(*) / count(DISTINCT index_date), 6) AS per_day, count(*) < 10000 AS too_few FROM {ARTICLES}")
+@query(f"""SELECT count(*) AS n, count(body) AS n_body, count(published) AS n_published, count(DISTINCT index_date) AS days, round(count(*) / count(DISTINCT index_date), 6) AS per_day, count(*) < 10000 AS too_few,
+count(DISTINCT index_date) < 0.7 * (DATE '{V.LAST_DAY}' - DATE '{V.FIRST_DAY}' + 1) AS too_few_days FROM {ARTICLES}""")
 def agg17_collection(spark, sf_dir):
-    return P.collection_summary(_articles(spark, sf_dir), "index_date", ["body", "published"]).withColumn("per_day", F.round("per_day", 6))
+    return P.collection_summary(_articles(spark, sf_dir), "index_date", ["body", "published"], period=(V.FIRST_DAY, V.LAST_DAY)).withColumn("per_day", F.round("per_day", 6))
 
 
 @query(f"""WITH y AS (SELECT site, count(*) AS n FROM {ARTICLES} GROUP BY 1), t AS (SELECT count(*) AS a FROM {ARTICLES})
@@ -584,7 +633,7 @@ def _escaped(text):
 
 
 @query("""SELECT site AS page_id, url, min_by(trim(title), listing_id) AS title FROM archive_index
-WHERE regexp_matches(url, '/\\d{4}/\\d{2}/\\d{2}/') AND length(trim(title)) >= 15 AND NOT regexp_matches(title, '[<>&]') GROUP BY site, url""")
+WHERE regexp_matches(url, '/\\d{4}/\\d{2}/\\d{2}/') AND length(trim(title)) >= 15 GROUP BY site, url""")
 def ext1_dd4_archive_links(spark, sf_dir):
     """Archive pages built from the listings, one per site and hundred listings, and their links taken out again."""
     index = _t(spark, sf_dir, "archive_index")
@@ -598,7 +647,7 @@ def ext1_dd4_archive_links(spark, sf_dir):
 
 
 @query(r"""SELECT DISTINCT site || ' ' || index_date AS page_id, url, index_date AS date FROM archive_index
-WHERE regexp_matches(url, '/\d{4}/\d{2}/\d{2}/[a-z0-9\-]+\.html') AND regexp_extract(url, '/(\d{4}/\d{2}/\d{2})/', 1) = replace(index_date, '-', '/') AND length(trim(title)) >= 15 AND NOT regexp_matches(title, '[<>&]')""")
+WHERE regexp_matches(url, '/\d{4}/\d{2}/\d{2}/[a-z0-9\-]+\.html') AND regexp_extract(url, '/(\d{4}/\d{2}/\d{2})/', 1) = replace(index_date, '-', '/') AND length(trim(title)) >= 15""")
 def ext2_strict_links(spark, sf_dir):
     """Archive pages of one site and day, and the links on them that name the page's own date."""
     index = _t(spark, sf_dir, "archive_index")
@@ -662,21 +711,54 @@ def ml6_confusion(spark, sf_dir):
     return M.confusion(_predicted(spark, sf_dir), "a", "p", ["down", "flat", "up"])
 
 
-@query()
-def ml2_ml4_ml7_top_terms(spark, sf_dir):
-    """Terms that speak most for each direction of the rate, from a model of the days' relevant news over whole texts."""
+_TRAIN = f"""{_WITH}, days AS (SELECT date, text_norm_concat AS text, row_number() OVER (ORDER BY date) AS rn, count(*) OVER () AS n FROM merged WHERE n_news > 0),
+train AS (SELECT date, regexp_extract_all(text, '[a-z0-9_][a-z0-9_]+') AS w FROM days WHERE rn <= floor(n * (1 - 0.2))),
+terms AS (SELECT date, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM train)"""
+
+
+def _split_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test days with news: ``date``, ``text_norm_concat``, ``direction``."""
     daily = cut_lineage(_daily(spark, sf_dir, with_text=True).filter("n_news > 0").select("date", "text_norm_concat", "direction"))
     # the split's window takes all days in one task, so the texts stay out of it
-    days = S.chronological_split(daily.select("date"), "date").filter("part = 'train'").select("date")
-    train = daily.join(F.broadcast(days), "date", "left_semi").persist()
+    days = cut_lineage(S.chronological_split(daily.select("date"), "date"))
+    return tuple(daily.join(F.broadcast(days.filter(F.col("part") == p).select("date")), "date", "left_semi") for p in ("train", "test"))
+
+
+def _fitted(train: DataFrame):
     labels = sorted(r[0] for r in train.select("direction").distinct().collect())  # at most three
     index = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("direction")) - 1
     weights = M.TermWeights().fit(train, "text_norm_concat")
     x = M.balanced(weights.transform(train).withColumn("y", index.cast("double")), "direction")
-    model = M.fit_classifier(x, "y")
+    return labels, weights, M.fit_classifier(x, "y")
+
+
+@query(f"""{_TRAIN}, c AS (SELECT term, count(*) AS tf, count(DISTINCT date) AS df FROM terms GROUP BY term), n AS (SELECT count(*) AS n FROM train)
+SELECT term, tf, df, round(ln((n + 1.0) / (df + 1)) + 1, 9) AS idf FROM c, n WHERE df >= 5 AND df <= 0.8 * n ORDER BY tf DESC, term LIMIT 5000""")
+def ml2_vocabulary(spark, sf_dir):
+    """Terms of the training days with their counts and weights."""
+    return M.TermWeights().table(_split_days(spark, sf_dir)[0], "text_norm_concat").withColumn("idf", F.round("idf", 9))
+
+
+@query()
+def ml2_ml4_ml7_top_terms(spark, sf_dir):
+    """Terms that speak most for each direction of the rate, from a model of the days' relevant news over whole texts."""
+    labels, weights, model = _fitted(_split_days(spark, sf_dir)[0])
     return spark.createDataFrame(M.top_terms(model, weights.vocabulary, labels), "direction string, rank int, term string, coefficient double")
 
 
+@query()
+def ml4_ml5_test_report(spark, sf_dir):
+    """Measures of that model on the days after those it was trained on, and the accuracy of always saying the commonest class."""
+    train, test = _split_days(spark, sf_dir)
+    labels, weights, model = _fitted(train)
+    name = F.element_at(F.array(*(F.lit(x) for x in labels)), (F.col("prediction") + 1).cast("int"))
+    told = cut_lineage(model.transform(weights.transform(test)).select(F.col("direction").alias("a"), name.alias("p")))
+    commonest = M.majority(train.select("direction"), "direction").select(F.col("direction").alias("d"))
+    dummy = M.class_measures(told.join(F.broadcast(commonest)).select("a", F.col("d").alias("p")), "a", "p").filter("label = 'accuracy'").withColumn("label", F.lit("always the commonest"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return M.class_measures(told, "a", "p").unionAll(dummy).select("label", r("precision"), r("recall"), r("f1"), "support")
+
+
 # ---- whole pipelines -------------------------------------------------------------------------------------------------------
 
 _STAMPS = "CAST(published_utc AS VARCHAR) AS published_utc, CAST(wib AS VARCHAR) AS published_wib"
@@ -738,3 +820,26 @@ SELECT step, stage, rows, round(rows / nullif(lag(rows) OVER (ORDER BY step), 0)
 def plan_funnel(spark, sf_dir):
     """Records left after each stage on the way to the features."""
     return P.funnel(pipelines.funnel_flags(_records(spark, sf_dir)), pipelines.funnel_stages())
+
+
+@query(f"{_WITH} SELECT strftime(target_date, '%Y-%m-01') AS month, count(*) AS n, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM aligned WHERE target_date IS NOT NULL GROUP BY 1")
+def snk6_aligned_table(spark, sf_dir):
+    """The aligned news as a new table beside the features that it was made from, counted from the table."""
+    path = shared_folder(spark, "aligned")
+    out = pipelines.land_aligned(_features(spark, sf_dir), _rates(spark, sf_dir), path)
+    return out.groupBy(F.trunc("target_date", "month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))
+
+
+@query(SQL["agg8_weekdays"])
+def plan_weekdays(spark, sf_dir):
+    return P.weekday_density(_daily(spark, sf_dir))
+
+
+@query(SQL["agg9_agg18_coverage"].replace("round(avg(n_news), 6)", "avg(n_news)").replace("round(avg(CASE WHEN n_news > 0 THEN 100.0 ELSE 0 END), 6)", "avg(CASE WHEN n_news > 0 THEN 1.0 ELSE 0 END) * 100"))
+def plan_coverage(spark, sf_dir):
+    return P.coverage(_daily(spark, sf_dir))
+
+
+@query(SQL["flt12_win6_spl1_split"])
+def plan_split(spark, sf_dir):
+    return S.chronological_split(_daily(spark, sf_dir).filter("n_news > 0").select(*_iso("date")), "date")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -73,16 +72,11 @@ def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(cut) if small else cut), small
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache on disk what two consumers in one plan share; lost blocks are computed again from lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def spread(table: DataFrame) -> DataFrame:
     """A table as it was read, over all cores if its files give fewer tasks than there are cores.
 
-    A small file of one row group is one task, however costly what follows. Tables with enough tasks are left as they are, so at
-    scale nothing is moved.
+    A small file of one row group is one task, however costly what follows, so the columns that are used move once. A table with as
+    many splits as the session has cores is left as it is.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

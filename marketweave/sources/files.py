@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marketweave.session import shared_table
+
 ARTICLE_SCHEMA = (
     "url string, title string, published string, modified string, description string, body string, author string, section string, "
     "index_date string, title_score bigint, matched_terms string"
@@ -54,10 +56,24 @@ def read_shards(spark: SparkSession, path: str, schema: str = ARTICLE_SCHEMA, st
 
 def shard_audit(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:
     """Per file (or another part of its address) the number of lines and of bad ones; blank lines count for neither."""
+    lines = _audited(spark, path, by)
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("bad_lines"))
+
+
+def bad_lines(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:
+    """``file`` and ``value`` of each bad line of a folder's shards. Files are split over tasks, so lines have no numbers."""
+    return _audited(spark, path, by).filter("bad").select("file", "value")
+
+
+def _audited(spark: SparkSession, path: str, by: Column | None) -> DataFrame:
     name = F.col("_metadata.file_name") if by is None else by
     lines = spark.read.text(path).select(name.alias("file"), "value").filter(F.trim("value") != "")
-    bad = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")
-    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(bad).alias("bad_lines"))
+    return lines.withColumn("bad", F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"))
+
+
+def months_to_fetch(days: DataFrame, landed: DataFrame) -> DataFrame:
+    """``month`` (yyyy-MM) of each month of a period of which ``landed`` has nothing, so that a run goes on where one ended."""
+    return days.select(F.date_format("day", "yyyy-MM").alias("month")).distinct().join(landed.select("month").distinct(), "month", "left_anti")
 
 
 def days_between(spark: SparkSession, first: str | date, last: str | date) -> DataFrame:
@@ -71,9 +87,9 @@ def archive_url(day: Column, base: str) -> Column:
     return F.concat(F.lit(base), F.date_format(day, "yyyy"), F.lit("/"), F.date_format(day, "MMMM"), F.lit("/"), F.dayofmonth(day).cast("string"), F.lit("/"))
 
 
-def write_csv(df: DataFrame, path: str, overwrite: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, overwrite: bool = True, sep: str = ",") -> None:
     """CSV with header; without ``overwrite`` an existing path is an error."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').option("sep", sep).csv(path)
 
 
 def append_shard(df: DataFrame, path: str) -> None:
@@ -81,13 +97,10 @@ def append_shard(df: DataFrame, path: str) -> None:
 
 
 def split_write(df: DataFrame, keep: Column, kept_path: str, rest_path: str) -> None:
-    """Rows that meet the condition to one table, all others (null too) to another; the input is computed once."""
-    marked = df.withColumn("_keep", F.coalesce(keep, F.lit(False))).persist()
-    try:
-        marked.filter("_keep").drop("_keep").write.mode("overwrite").parquet(kept_path)
-        marked.filter("not _keep").drop("_keep").write.mode("overwrite").parquet(rest_path)
-    finally:
-        marked.unpersist()
+    """Rows that meet the condition to one table, all others (null too) to another; the input is computed once, into the shared folder."""
+    marked = shared_table(df.withColumn("_keep", F.coalesce(keep, F.lit(False))), "split")
+    marked.filter("_keep").drop("_keep").write.mode("overwrite").parquet(kept_path)
+    marked.filter("not _keep").drop("_keep").write.mode("overwrite").parquet(rest_path)
 
 
 def write_report(path: str, text: str, append: bool = False) -> None:

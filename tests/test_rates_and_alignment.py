@@ -71,3 +71,16 @@ def test_ordered_dedup(spark):
     assert (trail.vs, trail.n_keyword_hits) == ("x|y", 2)
     assert {r.v for r in not_done(df, df.filter("k = 'a'"), "k").collect()} == {"z", "w"}
     assert keep_one(df.limit(0), ["k"], "seq").count() == 0
+
+
+def test_dates_of_all_notations(spark):
+    cases = {
+        "18 May 2026": "2026-05-18", "1 August 2021": "2021-08-01", "Sep 1, 2021": "2021-09-01", "2021/09/01": "2021-09-01", "24/08/26": "2026-08-24", "2021-09-01xyz": None,
+        "2021-09-01 10:30:00": "2021-09-01", "1 Agu 2021": "2021-08-01", "17-Okt-2022": "2022-10-17", "08/24/26": "2026-08-24", "31/12/1999": "1999-12-31", "12/31/99": "1999-12-31",
+        "2021-02-30": None, "5 Foo 2021": None, "": None, "2021-9-1": "2021-09-01", "September 30 2024": "2024-09-30", "9/1/2021": "2021-01-09", "9/13/2021": "2021-09-13", "x" * 10_000: None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "tanggal string, want string")
+    from marketweave.functions.rates import rate_date
+
+    for r in df.select("tanggal", "want", rate_date(F.col("tanggal")).cast("string").alias("got")).collect():
+        assert r.got == r.want, r.tanggal
