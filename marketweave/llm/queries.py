@@ -110,6 +110,15 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_text(_table(spark, sf_dir, ARTICLES), "seq", "body", only_over=True)
 
 
+def p7_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each article put together again, and whether all kept to the limit and the overlap."""
+    pieces = p7_pieces(spark, sf_dir)
+    new = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", 201, 3000))
+    rows = F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new"))))
+    joined = pieces.groupBy("seq").agg(rows.alias("x"), (F.max(F.length("piece")) <= 3000).alias("fits"))
+    return joined.select("seq", F.md5(F.array_join(F.transform("x", lambda r: r["new"]), "")).alias("digest"), "fits")
+
+
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketweave.llm.tokens import with_token_counts
 
@@ -122,6 +131,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(_counted(spark, sf_dir), "doc_id", "tokens")
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed, containers over their capacity, and documents cut although they fit into one."""
+    packed = p8_containers(spark, sf_dir)
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("part_size").alias("size"))
+    docs = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("size") <= 2048)).alias("cut_small"))
+    held = packed.groupBy("container").agg(F.sum("part_size").alias("size")).agg(F.count_if(F.col("size") > 2048).alias("overfull"))
+    return docs.join(held)
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketweave.llm.mixing import mix_sources
 
@@ -134,6 +152,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_counted(spark, sf_dir), _table(spark, sf_dir, "source_targets"))[1]
 
 
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in the mix without a target, and parts of documents used more often than allowed or twice in one round."""
+    targets = _table(spark, sf_dir, "source_targets")
+    used = p9_mix(spark, sf_dir).groupBy("source", "doc_id", "token_start").agg(F.count(F.lit(1)).alias("n"), F.max("round").alias("last"), F.count_distinct("round").alias("rounds"))
+    used = used.join(F.broadcast(targets), "source", "left")
+    return used.agg(F.count_if(F.col("target_share").isNull()).alias("untargeted"), F.count_if(F.col("n") > F.col("max_repeats")).alias("too_often"), F.count_if(F.col("n") > F.col("rounds")).alias("twice"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_levels(spark, sf_dir).filter("level = 5").select("doc_id")
 
@@ -145,8 +171,8 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_collapsed, p2_found, p2_kept, p4_found, p4_unified, p5_found, p5_sequences, p5_cleaned, p6_found, p6_paired, p7_found, p7_pieces,
-    p8_containers, p9_mix, p9_shares, p10_found, p10_levels,
+    p1_found, p1_collapsed, p2_found, p2_kept, p4_found, p4_unified, p5_found, p5_sequences, p5_cleaned, p6_found, p6_paired, p7_found, p7_pieces, p7_rejoined,
+    p8_containers, p8_checked, p9_mix, p9_shares, p9_checked, p10_found, p10_levels,
 )}
 
 _NORMAL = r"replace(regexp_replace(lower(upper({})), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss')"
@@ -185,5 +211,8 @@ WITH lines AS (
 ), frequent AS (SELECT site, line, true AS often FROM lines WHERE line <> '' GROUP BY site, line HAVING count(DISTINCT seq) >= 10),
 left_ AS (SELECT seq, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (often IS NULL), '') AS body, count(*) FILTER (often) AS removed FROM lines LEFT JOIN frequent USING (site, line) GROUP BY seq)
 SELECT seq, l.body, coalesce(removed, 0) AS removed FROM (SELECT seq FROM {ARTICLES}) LEFT JOIN left_ l USING (seq)""",
+    "p7_rejoined": f"SELECT seq, md5(body) AS digest, true AS fits FROM {ARTICLES} WHERE length(body) > 3000",
+    "p8_checked": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS cut_small, CAST(0 AS BIGINT) AS overfull FROM documents",
+    "p9_checked": "SELECT CAST(0 AS BIGINT) AS untargeted, CAST(0 AS BIGINT) AS too_often, CAST(0 AS BIGINT) AS twice",
     "p7_found": f"SELECT seq FROM {ARTICLES} WHERE length(body) > 3000",
 }

@@ -13,20 +13,20 @@ def piece_pattern(limit: int, overlap: int) -> str:
     """Pattern whose successive matches cover a text: the first takes up to ``limit`` characters, others leave the overlap free.
 
     A boundary in the last half of the span is better than an earlier one of a stronger class, so that a lone early boundary gives
-    no crumbs; an earlier one is better than none. Classes: end of text, blank line, line end, sentence end, clause end, white
+    no crumbs; an earlier one is better than none, if the first piece is longer than the overlap then. Classes: end of text, blank line, line end, sentence end, clause end, white
     space, then any character (but not before a combining mark, where one can avoid it). Each look-back is as long as the span.
     """
 
-    def span(most: int) -> str:
+    def span(most: int, least: int) -> str:
         half = most // 2
         closing = r"\"'”’»)\]"
         blank = rf"(?<=\n)(?<=\n\s{{0,{most}}}\n)(?!\s)"
         sentence = rf"(?!\s)(?<=[.!?…。！？{closing}]\s)(?<=[.!?…。！？][{closing}]{{0,{most}}}\s)"
         ends = (blank, r"(?<=\n)", sentence, r"(?<=[,;:–—]\s)(?!\s)", r"(?<=\s)(?!\s)")
-        taken = [rf".{{1,{most}}}\z", *(rf".{{{half},{most}}}{e}" for e in ends), *(rf".{{1,{half}}}{e}" for e in ends)]
+        taken = [rf".{{1,{most}}}\z", *(rf".{{{half},{most}}}{e}" for e in ends), *(rf".{{{least},{half}}}{e}" for e in ends)]
         return "(?:" + "|".join([*taken, rf".{{{half},{most}}}(?!\p{{M}})", rf".{{1,{most}}}"]) + ")"
 
-    return rf"(?s)\A{span(limit)}|(?<!\A){span(limit - overlap)}"
+    return rf"(?s)\A{span(limit, overlap + 1)}|(?<!\A){span(limit - overlap, 1)}"
 
 
 def split_text(df: DataFrame, item_id: str, text: str, limit: int = 3000, overlap: int = 200, only_over: bool = False) -> DataFrame:

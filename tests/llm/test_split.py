@@ -41,7 +41,7 @@ def test_only_over_and_empty(spark):
 
 
 def test_an_early_boundary_is_better_than_none(spark):
-    texts = ["a" * 900 + ". " + "b" * 4000, "x. " + "“ok.”" + ")" * 5 + " " + "c" * 4000, "p\n" + " " * 20 + "\n" + "d" * 3500, "a" * 2000 + " " + "b" * 1500 + ". " + "c" * 2000]
+    texts = ["a" * 900 + ". " + "b" * 4000, "x" * 250 + ". " + "“ok.”" + ")" * 5 + " " + "c" * 4000, "p" * 300 + "\n" + " " * 20 + "\n" + "d" * 3500, "a" * 2000 + " " + "b" * 1500 + ". " + "c" * 2000, "short. " + "e" * 4000]
     df = spark.createDataFrame(list(enumerate(texts)), "seq long, body string")
     first = {r.seq: len(r.piece) for r in split_text(df, "seq", "body").filter("piece_no = 1").collect()}
-    assert first == {0: 902, 1: 14, 2: 23, 3: 2001}
+    assert first == {0: 902, 1: 263, 2: 322, 3: 2001, 4: 3000}
