@@ -86,7 +86,7 @@ def pack_items(
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, shard = pdf["_id"].to_numpy(), pdf["_size"].to_numpy(np.int64), pdf["_shard"].iloc[0]
-        order = np.lexsort((pdf["_id"].fillna("").to_numpy(str), sizes))  # the same packing whatever the rows' order
+        order = np.lexsort((pdf["_id"].fillna("").to_numpy(str), sizes))  # the same packing of a shard whatever its rows' order
         ids, sizes = ids[order], sizes[order]
         full = np.where(sizes > capacity, sizes // capacity, 0)
         rest = sizes - full * capacity

@@ -26,15 +26,20 @@ def encoder(path: str):
 
 
 def count_tokens(text: str, path: str, step: int = 100_000) -> int:
-    """Tokens of a whole text. A very long run without white space is encoded in steps, so that time stays in proportion."""
+    """Tokens of a whole text. A long text is encoded in steps, so that time stays in proportion.
+
+    Steps end before a single blank between two words, where the pattern ends a piece too, so the count is that of the whole. A run
+    of more than ``step`` characters without such a blank is cut at its end; each such cut may add a token.
+    """
     if len(text) <= step:
         return len(encoder(path).encode_ordinary(text))
     total, i = 0, 0
     while i < len(text):
         j = min(i + step, len(text))
         if j < len(text):
-            k = text.rfind("\n", i + 1, j)
-            k = k if k > i else text.rfind(" ", i + 1, j)
+            k = text.rfind(" ", i + 1, j - 1)
+            while k > i and (text[k - 1].isspace() or text[k + 1].isspace()):
+                k = text.rfind(" ", i + 1, k)
             j = k if k > i else j
         total += len(encoder(path).encode_ordinary(text[i:j]))
         i = j

@@ -121,3 +121,8 @@ def test_large_draws():
     sd = (n * 0.3 * 0.7) ** 0.5
     assert abs(got.mean() - 0.3 * n) < 5 * sd / 3000 ** 0.5 and abs(got.std() / sd - 1) < 0.06
     assert hypergeometric(rng, 5, 10**10, 10**10 + 5) == 5 and hypergeometric(rng, 10**10, 0, 7) == 7 and hypergeometric(rng, 2, 10**12, 10**6) in (0, 1, 2)
+
+
+def test_steps_count_as_the_whole():
+    for text in ("Die Zahl 12,5 % stieg  auf\n\n 9 Mrd. -- so it's said ( x )\t " * 40, "a b" * 900, "ok. " * 500):
+        assert count_tokens(text, TOKENIZER, step=97) == len(encoder(TOKENIZER).encode_ordinary(text))
