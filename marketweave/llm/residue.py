@@ -40,7 +40,7 @@ MAX_OTHER_CHARS = 250
 STANDING_ARTICLES = 10
 #: A unit belongs to messages if it stands beside labelled units in so many different bodies, in such a share of the bodies that
 #: hold it, and such a share of these has no other text; units of fewer characters say too little.
-MESSAGE_BODIES, MESSAGE_SHARE, SHORT_SHARE, LEAST_CHARS = 2, 0.15, 0.9, 12
+MESSAGE_BODIES, MESSAGE_SHARE, SHORT_SHARE, LEAST_CHARS = 2, 0.15, 0.9, 4
 
 # Notations of unfilled placeholders.
 PLACEHOLDERS = re.compile(
@@ -73,13 +73,16 @@ NOTICE_SEED = re.compile(
     r"|^(?:\w+ ){0,4}(?:javascript|scripts) (?:is|are) (?:required|disabled|turned off|blocked)\b|^(?:please )?(?:enable|turn on|activate) (?:javascript|scripts)\b"
     r"|^(?:sorry )?(?:this|the) (?:page|story|article|content|site)(?: \w+){0,5} (?:does not exist|could not be (?:loaded|found)|(?:is )?not available)\b|^this (?:page|story) isn't available\b"
     r"|^(?:this (?:site|page) (?:requires|needs) (?:javascript|scripts)|terjadi kesalahan pada server)\b"
+    # these may also end a unit that begins with an outlet's line
+    r"|\b(?:[45]xx (?:\w+ ){0,2}(?:forbidden|unavailable|timeout)|http [45]xx|loading (?:page|story) 9|(?:javascript|scripts) required)$"
+    r"|\b(?:you need to enable (?:javascript|scripts)|this site requires javascript|javascript is turned off in your browser|no script support found|your browser blocks active content|seite nicht gefunden fehler)\b"
     r"|^(?:página|seite|halaman) (?:no|não|nicht|tidak) (?:encontrada|gefunden|ditemukan)\b"
     r"|^(?:an|our|the) (?:\w+ )?(?:error|servers?) (?:has occurred|(?:is|are) (?:having|experiencing) (?:trouble|difficulties))\b"
 )
 # Words that make a unit worth the rules above; every text that the rules take holds one.
 HINT = re.compile(
     r"^(?:[45]xx|error|fehler|kesalahan|http|javascript|scripts|page|story|article|content|site|página|seite|halaman|servers?|text|copy|platzhalter|relleno|title"
-    r"|exception|requests|something|session|access|checking|loading|browser|kesalahan)$"
+    r"|exception|requests|something|session|access|checking|loading|browser|script)$"
 )
 _EDGES = "\x00 .,;:!?\"'()[]<>…|-–—#*«»“”‘’/\\=_{}%$@^~`+&"
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
@@ -344,7 +347,7 @@ def _shingles(df: DataFrame, row_id: str, text: str, wanted: DataFrame) -> DataF
     return texts.join(wanted.select("id", "h"), "id").select("h", "_text").mapInPandas(extract, "h bigint, s array<bigint>").distinct()
 
 
-def _alike(df: DataFrame, row_id: str, text: str, keyed: DataFrame, labelled: DataFrame, frontier: DataFrame, max_broadcast_rows: int) -> DataFrame:
+def _alike(df: DataFrame, row_id: str, text: str, units: DataFrame, keyed: DataFrame, labelled: DataFrame, frontier: DataFrame, max_broadcast_rows: int) -> DataFrame:
     """``h``, ``label`` of units that aren't labelled yet and are near-duplicates of the frontier."""
     few, _ = small_side(frontier, max_broadcast_rows)
     theirs = keyed.join(few.select("h", F.col("label").alias("flabel")), "h").select(F.col("h").alias("fh"), "flabel", F.col("n").alias("fn"), "id", F.explode("keys").alias("k"))
@@ -362,7 +365,12 @@ def _alike(df: DataFrame, row_id: str, text: str, keyed: DataFrame, labelled: Da
     both = pairs.select("h", "fh", "label").join(sets.select("h", F.col("s").alias("s1")), "h").join(sets.select(F.col("h").alias("fh"), F.col("s").alias("s2")), "fh")
     common = F.size(F.array_intersect("s1", "s2"))
     sure = both.filter(common >= MIN_SIMILARITY * (F.size("s1") + F.size("s2") - common))
-    return cut_lineage(sure.groupBy("h").agg(F.max("label").alias("label")))
+    found = cut_lineage(sure.groupBy("h").agg(F.max("label").alias("label")))
+    notices, _ = small_side(found.filter(F.col("label") == NOTICE).select("h"), max_broadcast_rows)
+    if notices.isEmpty():
+        return found
+    # an outlet's line may be like a unit in which it runs into a notice
+    return cut_lineage(found.filter(F.col("label") != NOTICE).unionAll(_messages(units, labelled, notices, max_broadcast_rows)))
 
 
 def _standing(units: DataFrame, of: DataFrame) -> DataFrame:
@@ -379,11 +387,24 @@ def _other_text(units: DataFrame, ids: DataFrame, labels: DataFrame, max_broadca
     return theirs.join(_standing(units, unknown), ["h", "s"], "left_anti").select("id", "h", "chars", "d")
 
 
+def _messages(units: DataFrame, labelled: DataFrame, maybe: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """``h``, ``label`` of those units ``maybe`` of which nearly all bodies have no text but them, labelled units, standing lines and little else."""
+    ids, _ = small_side(units.join(maybe, "h", "left_semi").select("id").distinct(), max_broadcast_rows)
+    other = cut_lineage(_other_text(units, ids, labelled, max_broadcast_rows).groupBy("id", "h", "d").agg(F.sum("chars").alias("chars")))
+    whole = other.groupBy("id").agg(F.sum("chars").alias("all"))
+    # all bodies that hold the unit count, those too in which it is a line of the source
+    each = units.join(maybe, "h", "left_semi").select("id", "h", "d").distinct().join(whole, "id", "left").join(other.select("id", "h", "chars"), ["id", "h"], "left")
+    rest = F.coalesce(F.col("all"), F.lit(0)) - F.coalesce(F.col("chars"), F.lit(0))
+    each = each.select("h", "d", (rest <= MAX_OTHER_CHARS).alias("short"))
+    each = each.groupBy("h").agg(F.count_distinct("d").alias("n"), F.count_distinct(F.when(F.col("short"), F.col("d"))).alias("short"))
+    return cut_lineage(each.filter(F.col("short") >= SHORT_SHARE * F.col("n")).select("h", F.lit(NOTICE).cast("tinyint").alias("label")))
+
+
 def _together(units: DataFrame, labelled: DataFrame, frontier: DataFrame, max_broadcast_rows: int) -> DataFrame:
     """``h``, ``label`` of units that make up messages with labelled ones, the frontier's among them.
 
-    A unit counts by the bodies that hold it: enough of them hold a labelled notice, and nearly all have no text but labelled
-    units, standing lines and little else. Common lines are out by the first count, before any other text is read.
+    A unit counts by the bodies that hold it: enough of them hold a labelled notice, and nearly all are messages. Common lines are
+    out by the first count, before any other text is read.
     """
     labels, _ = small_side(labelled, max_broadcast_rows)
     fresh, _ = small_side(frontier, max_broadcast_rows)
@@ -397,12 +418,7 @@ def _together(units: DataFrame, labelled: DataFrame, frontier: DataFrame, max_br
     counts = held.groupBy("h").agg(F.count_distinct("d").alias("n"), F.count_distinct(F.when(F.col("known"), F.col("d"))).alias("told"))
     maybe = counts.filter((F.col("told") >= MESSAGE_BODIES) & (F.col("told") >= MESSAGE_SHARE * F.col("n"))).select("h")
     maybe, _ = small_side(maybe, max_broadcast_rows)
-    ids, _ = small_side(units.join(maybe, "h", "left_semi").select("id").distinct(), max_broadcast_rows)
-    other = cut_lineage(_other_text(units, ids, labels, max_broadcast_rows).groupBy("id", "h", "d").agg(F.sum("chars").alias("chars")))
-    whole = other.groupBy("id").agg(F.sum("chars").alias("all"))
-    each = other.join(maybe, "h", "left_semi").join(whole, "id").select("h", "d", (F.col("all") - F.col("chars") <= MAX_OTHER_CHARS).alias("short"))
-    each = each.groupBy("h").agg(F.count_distinct("d").alias("n"), F.count_distinct(F.when(F.col("short"), F.col("d"))).alias("short"))
-    return cut_lineage(each.filter(F.col("short") >= SHORT_SHARE * F.col("n")).select("h", F.lit(NOTICE).cast("tinyint").alias("label")))
+    return _messages(units, labelled, maybe, max_broadcast_rows)
 
 
 def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_broadcast_rows: int = 500_000) -> DataFrame:
@@ -415,7 +431,7 @@ def spread_labels(df: DataFrame, row_id: str, text: str, units: DataFrame, max_b
     alike = beside = labelled
     while True:
         if not alike.isEmpty():
-            alike = _alike(df, row_id, text, keyed, labelled, alike, max_broadcast_rows)
+            alike = _alike(df, row_id, text, units, keyed, labelled, alike, max_broadcast_rows)
             labelled = cut_lineage(labelled.unionAll(alike))
             beside = beside.unionAll(alike)
             continue
