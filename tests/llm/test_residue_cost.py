@@ -45,3 +45,15 @@ def test_simhash_of_units_of_any_length():
 def test_every_notation_passes_the_quick_look():
     for mark in ("{{a}}", "{% if x %}", "<%= x %>", "${a.b}", "#{x}", "{city}", "[[x]]", "<<X>>", "@@x@@", "__X__", "%X_Y%", "$X_Y$", "*|X|*", "[your quote 1]", "[quote 1 TK]"):
         assert R.has_placeholder(f"a {mark} b") == R.PLACEHOLDERS.search(mark)[0]
+
+
+def test_standing_lines_are_found_once(spark, monkeypatch):
+    """Rounds that spread labels don't count again in how many bodies of a source a unit is."""
+    heads, causes = ["404 Not Found", "Gatekeeper says no", "503 Service Unavailable"], ["the story kiln went cold today", "a clerk lost the ledger of pages", "nobody fed the page engine"]
+    rows = [(i, f"{heads[i // 3 * 2]}: {c} (X{i}7)") for i, c in enumerate(causes * 2)] + [(100 + i, f"{heads[1]}: {c} (X{i}7)") for i, c in enumerate(causes)]
+    rows += [(200 + i, f"Outlet line\n{chr(97 + i) * 5} {PROSE}") for i in range(12)] + [(300, f"Outlet line\n{heads[1]}: shut"), (301, f"Outlet line\n{PROSE} {OTHER} {heads[0]}")]
+    searched, whole = [], R.standing_lines
+    monkeypatch.setattr(R, "standing_lines", lambda *a: searched.append(a) or whole(*a))
+    got = {r.seq for r in R.residue_articles(spark.createDataFrame(rows, "seq long, body string")).collect()}
+    assert got == {*range(6), 100, 101, 102, 300}
+    assert len(searched) == 1
