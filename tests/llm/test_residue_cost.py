@@ -57,3 +57,15 @@ def test_standing_lines_are_found_once(spark, monkeypatch):
     got = {r.seq for r in R.residue_articles(spark.createDataFrame(rows, "seq long, body string")).collect()}
     assert got == {*range(6), 100, 101, 102, 300}
     assert len(searched) == 1
+
+
+def test_units_meet_alike_by_few_keys_and_by_the_table(spark, monkeypatch):
+    long = "scripts are disabled in this reader and the article of the day will only be shown once you allow them to run"
+    rows = [(0, long), (1, long.replace("scripts are", "programs are", 1)), (2, long + " again"), (3, PROSE), (4, OTHER)]
+    df = spark.createDataFrame(rows, "seq long, body string")
+    units = R.text_units(df, "seq", "body")
+    looked, meet = [], R._meeting
+    monkeypatch.setattr(R, "_meeting", lambda *a: looked.append(a) or meet(*a))
+    found = [sorted(R.spread_labels(df, "seq", "body", units, bound).collect()) for bound in (500_000, 1)]
+    assert len(found[0]) == 3 and found[0] == found[1]
+    assert looked and len(looked) <= 3  # the second time only
